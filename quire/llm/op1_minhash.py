@@ -9,9 +9,13 @@ Counting skips what cannot reach MATCH. A posting that only one text has is no c
 needs MATCH of those c, so texts with c < MATCH are skipped whole, and by the prefix principle two texts that share MATCH
 postings share one among the c - MATCH + 1 rarest of each. Only those are merged.
 
-Groups of near copies are collapsed before pairs are made. First each text is tried against one hub, the smallest id of a
-prefix posting; then only pairs across the components so found are made, so a group of n copies costs about n pairs,
-while every link between different components is still tried. Exact copies of a set are one class from the start.
+Merging also skips by two bits of each coordinate, which a posting carries: equal coordinates have equal bits, so a pair with
+fewer than MATCH equal bit pairs cannot have MATCH collisions and is never made. This loses nothing.
+
+Groups of near copies are collapsed before pairs are made. In each of ROUNDS rounds every posting picks a member as its
+hub by a hash, every text is tried against the likeliest hub of another component, and the components are joined up;
+then all pairs across the components that are left are made and tried. So a group of n copies costs about n pairs, while
+every link between different components is still tried. Exact copies of a set are one class from the start.
 
 Nulls and odd cases: a text that is null, empty or white space has an empty set and links with nothing; a row without id
 links with nothing, has a null component_id and is kept; rows that repeat an id and a text get the same answer; ids that
@@ -29,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .shared import components, shingle_sets, slices, stage
 
-COORDINATES, MATCH = 64, 35
+COORDINATES, MATCH, ROUNDS = 64, 35, 3
 _rng = np.random.default_rng(7)
 _A = _rng.integers(1, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(1, 2**63, COORDINATES, dtype=np.uint64)
@@ -55,6 +59,10 @@ def _signer(k: int):
             for lo, hi in slices(texts):
                 sets = shingle_sets(texts[lo:hi], k)
                 sigs = [signature(s) for s in sets if len(s)]
+                bits = np.array(sigs, dtype=np.int64).reshape(-1, COORDINATES)
+                low, high = (np.zeros(len(sets), np.int64) for _ in range(2))
+                some = np.flatnonzero([len(s) > 0 for s in sets])
+                low[some], high[some] = ((((bits >> i) & 1) << np.arange(COORDINATES)).sum(axis=1) for i in (0, 1))
                 ends = np.cumsum([0, *(COORDINATES if len(s) else 0 for s in sets)]).astype(np.int32)
                 d = [digest(s) for s in sets]
                 yield pa.RecordBatch.from_arrays(
@@ -63,9 +71,11 @@ def _signer(k: int):
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([x[0] for x in d], pa.int64()),
                         pa.array([x[1] for x in d], pa.int64()),
+                        pa.array(low),
+                        pa.array(high),
                         pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sigs) if sigs else np.zeros(0, np.int32))),
                     ],
-                    ["doc_id", "n_shingles", "d1", "d2", "sig"],
+                    ["doc_id", "n_shingles", "d1", "d2", "low", "high", "sig"],
                 )
 
     return sign
@@ -109,27 +119,22 @@ def _confirmer(k: int, percent: int):
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row of docs; see the module for the method and odd cases."""
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = stage(src.mapInArrow(_signer(shingle_words), "doc_id long, n_shingles long, d1 long, d2 long, sig array<int>"), "signed")
+    signed = stage(src.mapInArrow(_signer(shingle_words), "doc_id long, n_shingles long, d1 long, d2 long, low long, high long, sig array<int>"), "signed")
+    firsts = [F.first(c).alias(c) for c in ("low", "high", "sig")]
     classes = stage(
-        signed.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")),
+        signed.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), *firsts),
         "classes",
     )
 
-    posted = classes.select("rep", "n", F.posexplode("sig").alias("p", "v")).select("rep", "n", F.expr("shiftleft(cast(p as long), 32) | (cast(v as long) & 4294967295L)").alias("key"))
+    posted = classes.select("rep", F.posexplode("sig").alias("p", "v")).select("rep", F.expr("shiftleft(cast(p as long), 32) | (cast(v as long) & 4294967295L)").alias("key"))
     shared = posted.groupBy("key").agg(F.count("*").alias("f")).where("f > 1")
-    prefixes = stage(
-        posted.join(shared, "key")
-        .groupBy("rep", "n")
-        .agg(F.sort_array(F.collect_list(F.struct("f", "key"))).alias("posts"))
-        .where(F.size("posts") >= MATCH)
-        .select("rep", "n", F.explode(F.expr(f"slice(posts, 1, size(posts) - {MATCH - 1})")).alias("x"))
-        .select("rep", "n", "x.key"),
-        "prefixes",
-    )
+    posts = posted.join(shared, "key").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("f", "key"))).alias("posts")).where(F.size("posts") >= MATCH)
+    posts = stage(posts.select("rep", F.expr(f"transform(slice(posts, 1, size(posts) - {MATCH - 1}), x -> x.key)").alias("keys")), "posts")
     # only texts that can be in a pair; each is moved once
-    wanted = prefixes.select(F.col("rep").alias("doc_id")).distinct()
+    wanted = posts.select(F.col("rep").alias("doc_id"))
     texts = stage(src.join(wanted, "doc_id"), "texts")
-    sigs = classes.join(wanted.select(F.col("doc_id").alias("rep")), "rep").select("rep", "d1", "sig")
+    sigs = stage(classes.drop("d2").join(posts, "rep"), "sigs")
+    prefixes = sigs.select("rep", "n", "low", "high", F.explode("keys").alias("key"))
 
     def renamed(df: DataFrame, **cols: str) -> DataFrame:
         return df.select(*(F.col(old).alias(new) for old, new in cols.items()))
@@ -145,28 +150,34 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
         full = named.join(renamed(texts, doc_id="a", text="ta"), "a").join(renamed(texts, doc_id="b", text="tb"), "b")
         return full.select("a", "b", "da", "db", "ta", "tb").mapInArrow(_confirmer(shingle_words, percent), "a long, b long")
 
-    fits = f"least(n, m) * 100 >= greatest(n, m) * {percent}"
-    hubs = prefixes.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("h"), F.count("*").alias("c")).where("c > 1").select("key", F.col("h.rep").alias("hub"), F.col("h.n").alias("m"))
-    spokes = prefixes.join(hubs, "key").where(f"rep <> hub and {fits}").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
-    best = counted(spokes).groupBy("a").agg(F.max(F.struct("same", "b")).alias("x")).select("a", "x.b")
-    stars = stage(confirmed(best), "spokes")
-
-    labels = stage(components(stars), "labels")
-    labelled = stage(prefixes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("label")), "labelled")
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    live = stage(labelled.join(mixed, "key"), "live")
-    across = (
-        live.select("key", F.col("rep").alias("a"), "n", F.col("label").alias("la"))
-        .join(live.select("key", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("label").alias("lb")), "key")
-        .where(f"la < lb and {fits}")
-        .select("a", "b")
-        .distinct()
-    )
-    links = stage(confirmed(counted(across)), "links")
-    groups = components(stars.unionByName(links))
+    agree = "bit_count(~((low ^ low2) | (high ^ high2)))"
+    likely = f"label <> label2 and least(n, n2) * 100 >= greatest(n, n2) * {percent} and {agree} >= {MATCH}"
+    live = prefixes.withColumn("label", F.col("rep"))
+    links = groups = None
+    for r in range(ROUNDS + 1):
+        hub = F.min_by(F.struct("rep", "n", "low", "high", "label"), F.xxhash64("rep", "key", F.lit(r)))
+        spread = live.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"), hub.alias("h")).where("least < most")
+        if r == ROUNDS:
+            live = stage(live.join(spread.select("key"), "key"), "live")
+            other = live.select("key", F.col("rep").alias("b"), *(F.col(c).alias(c + "2") for c in ("n", "low", "high", "label")))
+            across = live.join(other, "key").where(f"rep < b and {likely}").select(F.col("rep").alias("a"), "b").distinct()
+            new = confirmed(counted(across))
+        else:
+            hubs = spread.select("key", F.col("h.rep").alias("b"), *(F.col(f"h.{c}").alias(c + "2") for c in ("n", "low", "high", "label")))
+            spokes = live.join(hubs, "key").where(likely).groupBy(F.col("rep").alias("a")).agg(F.max(F.struct(F.expr(agree).alias("same"), "b")).alias("x"))
+            new = confirmed(spokes.select("a", "x.b"))
+        new = stage(new, "links")
+        if links is not None and new.isEmpty():
+            continue
+        links = new if links is None else links.unionByName(new)
+        groups = components(links)
+        if r < ROUNDS:
+            groups = stage(groups, "groups")
+            label = groups.select(F.col("id").alias("rep"), F.col("component").alias("label"))
+            live = stage(prefixes.join(label, "rep", "left").withColumn("label", F.coalesce("label", "rep")), "labelled")
     of_class = classes.join(groups.withColumnRenamed("id", "rep"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component_id"))
     return (
-        signed.drop("sig")
+        signed.select("doc_id", "n_shingles", "d1", "d2")
         .join(of_class, ["d1", "d2"], "left")
         .select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
         .withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
