@@ -13,9 +13,12 @@ Merging also skips by two bits of each coordinate, which a posting carries: equa
 fewer than MATCH equal bit pairs cannot have MATCH collisions and is never made. This loses nothing.
 
 Groups of near copies are collapsed before pairs are made. In each of ROUNDS rounds every posting picks a member as its
-hub by a hash, every text is tried against the likeliest hub of another component, and the components are joined up;
-then all pairs across the components that are left are made and tried. So a group of n copies costs about n pairs, while
-every link between different components is still tried. Exact copies of a set are one class from the start.
+hub by a hash, every text is confirmed or not against the likeliest hub of another component, and components are joined
+up. All likely (text, hub) pairs, confirmed or not, span clusters. Where a cluster still has several components, the
+texts outside its largest one, usually few, are compared exactly to the largest one's and to each other in tasks of at
+most two chunks of CHUNK texts, which find intersections by an inverted index and hand on spanning links only. What is
+likely across clusters is made as pairs and confirmed. So every link between different components is tried, no task holds a
+whole group, and a group's pairs are never rows. Exact copies of a set are one class from the start.
 
 Nulls and odd cases: a text that is null, empty or white space has an empty set and links with nothing; a row without id
 links with nothing, has a null component_id and is kept; rows that repeat an id and a text get the same answer; ids that
@@ -27,13 +30,14 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import components, shingle_sets, slices, stage
 
-COORDINATES, MATCH, ROUNDS = 64, 35, 3
+COORDINATES, MATCH, ROUNDS, CHUNK = 64, 35, 2, 512
 _rng = np.random.default_rng(7)
 _A = _rng.integers(1, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(1, 2**63, COORDINATES, dtype=np.uint64)
@@ -116,6 +120,54 @@ def _confirmer(k: int, percent: int):
     return confirm
 
 
+def _overlaps(rows: list, cols: list, percent: int):
+    """(i, j) of rows[i] and cols[j] that are linked, by an inverted index of cols; a row at a time."""
+    size = np.array([len(c) for c in cols])
+    keys = np.concatenate(cols)
+    owner = np.repeat(np.arange(len(cols)), size)
+    order = np.argsort(keys, kind="stable")
+    keys, owner = keys[order], owner[order]
+    for i, x in enumerate(rows):
+        lo, hi = np.searchsorted(keys, x), np.searchsorted(keys, x, side="right")
+        n = hi - lo
+        at = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+        both = np.bincount(owner[at], minlength=len(cols))
+        yield i, np.flatnonzero(100 * both >= percent * (len(x) + size - both))
+
+
+def _solver(k: int, percent: int):
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        edges = []
+        texts = pdf["text"].tolist()
+        sets = [s for lo, hi in slices(texts) for s in shingle_sets(texts[lo:hi], k)]
+        for i, s in enumerate(sets):
+            if len(s) == 0 or digest(s)[0] != pdf["d1"].iat[i]:
+                sets[i] = np.zeros(0, np.uint64)  # another text under the same id
+        for _, part in pdf.groupby(["cluster", "kind", "i", "j"], sort=True):
+            left = part.index[(part["chunk"] == part["i"]) & part["outside"]].tolist()
+            right = part.index[(part["chunk"] == part["j"]) & (part["outside"] == (part["kind"] == 0))].tolist()
+            left, right = ([x for x in side if len(sets[x])] for side in (left, right))
+            if not left or not right:
+                continue
+            parent: dict = {}
+
+            def find(x, parent=parent):
+                while (y := parent.get(x, x)) != x:
+                    parent[x] = x = parent.get(y, y)
+                return x
+
+            label, rep = pdf["label"], pdf["rep"]
+            for x, hits in _overlaps([sets[x] for x in left], [sets[x] for x in right], percent):
+                for y in hits.tolist():
+                    f, g = find(label.iat[left[x]]), find(label.iat[right[y]])
+                    if f != g:
+                        parent[max(f, g)] = min(f, g)
+                        edges.append((rep.iat[left[x]], rep.iat[right[y]]))
+        return pd.DataFrame(edges, columns=["a", "b"]).astype("int64")
+
+    return solve
+
+
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row of docs; see the module for the method and odd cases."""
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -153,28 +205,48 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     agree = "bit_count(~((low ^ low2) | (high ^ high2)))"
     likely = f"label <> label2 and least(n, n2) * 100 >= greatest(n, n2) * {percent} and {agree} >= {MATCH}"
     live = prefixes.withColumn("label", F.col("rep"))
-    links = groups = None
-    for r in range(ROUNDS + 1):
+    links = groups = hubs_tried = None
+    for r in range(ROUNDS):
         hub = F.min_by(F.struct("rep", "n", "low", "high", "label"), F.xxhash64("rep", "key", F.lit(r)))
         spread = live.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"), hub.alias("h")).where("least < most")
-        if r == ROUNDS:
-            live = stage(live.join(spread.select("key"), "key"), "live")
-            other = live.select("key", F.col("rep").alias("b"), *(F.col(c).alias(c + "2") for c in ("n", "low", "high", "label")))
-            across = live.join(other, "key").where(f"rep < b and {likely}").select(F.col("rep").alias("a"), "b").distinct()
-            new = confirmed(counted(across))
-        else:
-            hubs = spread.select("key", F.col("h.rep").alias("b"), *(F.col(f"h.{c}").alias(c + "2") for c in ("n", "low", "high", "label")))
-            spokes = live.join(hubs, "key").where(likely).groupBy(F.col("rep").alias("a")).agg(F.max(F.struct(F.expr(agree).alias("same"), "b")).alias("x"))
-            new = confirmed(spokes.select("a", "x.b"))
-        new = stage(new, "links")
-        if links is not None and new.isEmpty():
-            continue
+        hubs = spread.select("key", F.col("h.rep").alias("b"), *(F.col(f"h.{c}").alias(c + "2") for c in ("n", "low", "high", "label")))
+        spokes = stage(live.join(hubs, "key").where(likely).groupBy(F.col("rep").alias("a"), "b").agg(F.first(F.expr(agree)).alias("same")), "spokes")
+        best = spokes.groupBy("a").agg(F.max(F.struct("same", "b")).alias("x")).select("a", "x.b")
+        new = stage(confirmed(best), "links")
+        hubs_tried = spokes.select("a", "b") if hubs_tried is None else hubs_tried.unionByName(spokes.select("a", "b"))
         links = new if links is None else links.unionByName(new)
-        groups = components(links)
-        if r < ROUNDS:
-            groups = stage(groups, "groups")
-            label = groups.select(F.col("id").alias("rep"), F.col("component").alias("label"))
-            live = stage(prefixes.join(label, "rep", "left").withColumn("label", F.coalesce("label", "rep")), "labelled")
+        groups = stage(components(links), "groups")
+        live = prefixes.join(groups.select(F.col("id").alias("rep"), F.col("component").alias("label")), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+        live = stage(live, "labelled")
+
+    # clusters with several components: the texts outside the largest one against all
+    clusters = components(hubs_tried).select(F.col("id").alias("rep"), F.col("component").alias("cluster"))
+    of = stage(clusters.join(groups.withColumnRenamed("id", "rep"), "rep", "left").select("rep", "cluster", F.coalesce("component", "rep").alias("label")), "clusters")
+    shares = of.groupBy("cluster", "label").agg(F.count("*").alias("c"))
+    sizes = shares.groupBy("cluster").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.max("c").alias("inside"), F.sum("c").alias("total")).where("inside < total")
+    sizes = sizes.select("cluster", "main", F.ceil(F.col("inside") / CHUNK).alias("mains"), F.ceil((F.col("total") - F.col("inside")) / CHUNK).alias("outs"))
+    dealt = of.join(sizes, "cluster").withColumn("outside", F.col("label") != F.col("main"))
+    dealt = dealt.withColumn("chunk", F.expr("pmod(xxhash64(rep), if(outside, outs, mains))"))
+    # kind 0: chunks of the outside with each other; kind 1: chunks of the outside with chunks of the largest component
+    among = dealt.where("outside").withColumn("o", F.explode(F.expr("sequence(0L, outs - 1)"))).withColumn("kind", F.lit(0)).withColumn("i", F.least("chunk", "o")).withColumn("j", F.greatest("chunk", "o"))
+    against = dealt.withColumn("o", F.explode(F.expr("sequence(0L, if(outside, mains, outs) - 1)"))).withColumn("kind", F.lit(1))
+    against = against.withColumn("i", F.expr("if(outside, chunk, o)")).withColumn("j", F.expr("if(outside, o, chunk)"))
+    cell = ["cluster", "kind", "i", "j"]
+    tasks = among.unionByName(against).select(*cell, "rep", "label", "outside", "chunk", "mains", "outs")
+    # clusters of one task are solved some at a time
+    per = F.when((F.col("mains") == 1) & (F.col("outs") == 1), F.pmod(F.xxhash64("cluster"), F.lit(max(64, wanted.count() // CHUNK)))).otherwise(F.xxhash64(*cell))
+    full = tasks.withColumn("bucket", per).drop("mains", "outs").join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep").join(sigs.select("rep", "d1"), "rep")
+    new = stage(full.groupBy("bucket").applyInPandas(_solver(shingle_words, percent), "a long, b long"), "links")
+    links = links.unionByName(new)
+
+    # what is likely across clusters
+    far = live.join(clusters, "rep", "left").withColumn("cluster", F.coalesce("cluster", "rep"))
+    spread = far.groupBy("key").agg(F.min("cluster").alias("least"), F.max("cluster").alias("most")).where("least < most").select("key")
+    far = stage(far.join(spread, "key"), "far")
+    other = far.select("key", F.col("rep").alias("b"), *(F.col(c).alias(c + "2") for c in ("n", "low", "high", "label", "cluster")))
+    across = far.join(other, "key").where(f"rep < b and cluster <> cluster2 and {likely}").select(F.col("rep").alias("a"), "b").distinct()
+    links = links.unionByName(stage(confirmed(counted(across)), "links"))
+    groups = components(links)
     of_class = classes.join(groups.withColumnRenamed("id", "rep"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component_id"))
     return (
         signed.select("doc_id", "n_shingles", "d1", "d2")
