@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import builtin as B
@@ -230,18 +230,21 @@ def ascii85_decode(s, d):
     return read(s, d, "documents").select("doc_id", F.hex(P.pdf_ascii85_decode(coded(F.col("text")))).alias("bytes"))
 
 
-_SUM = "(sum(l_quantity::BIGINT) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) % 256)::BIGINT"
+# line numbers repeat within an order, so all that tells rows apart orders them
+_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]
+_OVER = f"OVER (PARTITION BY l_orderkey ORDER BY {', '.join(_ORDER)} ROWS UNBOUNDED PRECEDING)"
+_SUM = f"(sum(l_quantity::BIGINT) {_OVER} % 256)::BIGINT"
 
 
 @query(f"SELECT l_orderkey, l_linenumber, {_SUM} AS byte FROM lineitem")
 def predictor_window(s, d):
-    rows = read(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("bigint").alias("q"))
-    return rows.select("l_orderkey", "l_linenumber", relational.predictor_sum(F.col("q"), ["l_orderkey"], "l_linenumber").alias("byte"))
+    byte = relational.predictor_sum(F.col("l_quantity").cast("bigint"), ["l_orderkey"], *_ORDER)
+    return read(s, d, "lineitem").select("l_orderkey", "l_linenumber", byte.alias("byte"))
 
 
-@query(f"SELECT l_orderkey, upper(string_agg(printf('%02x', byte), '' ORDER BY l_linenumber)) AS bytes FROM (SELECT l_orderkey, l_linenumber, {_SUM} AS byte FROM lineitem) GROUP BY l_orderkey")
+@query(f"SELECT l_orderkey, upper(string_agg(printf('%02x', byte), '' ORDER BY {', '.join(_ORDER)})) AS bytes FROM (SELECT *, {_SUM} AS byte FROM lineitem) GROUP BY l_orderkey")
 def predictor_kernel(s, d):
-    raw = read(s, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", F.col("l_quantity").cast("int").alias("q")))).alias("x"))
+    raw = read(s, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int").alias("q")))).alias("x"))
     coded = F.unhex(F.array_join(F.transform("x", lambda r: F.lpad(F.hex(r.q), 2, "0")), ""))
     return raw.select("l_orderkey", F.hex(P.pdf_unpredict(coded, F.lit(2), F.size("x"), F.lit(1))).alias("bytes"))
 
@@ -315,13 +318,11 @@ def glyph_names(s, d):
     return read(s, d, "part").select(F.col("p_partkey").alias("key"), P.pdf_glyph_to_unicode(uni).alias("uni"), P.pdf_glyph_to_unicode(F.chr(F.lit(97) + F.col("p_partkey") % 26)).alias("plain"))
 
 
-@query("SELECT o_orderkey AS key, upper(printf('%02x', 255 - (o_orderkey % 2) * 240)) || 'FF' AS bytes FROM orders")
+@query("SELECT o_orderkey AS key, upper(printf('%02x', 255 - (o_orderkey % 2) * 15)) || 'FF' AS bytes FROM orders")
 def ccitt_rows(s, d):
-    # T.6: a row of four white and four black columns or an all white one, then an all white row
-    raw = F.unhex(F.when(F.col("o_orderkey") % 2 == 1, "36C4C0").otherwise("C0"))
-    two = F.when(F.col("o_orderkey") % 2 == 1, F.unhex(F.lit("36D7"))).otherwise(F.unhex(F.lit("C0")))
-    out = read(s, d, "orders").select(F.col("o_orderkey").alias("key"), F.hex(P.pdf_ccitt_decode(two, F.lit(-1), F.lit(8), F.lit(2), F.lit(False))).alias("bytes"), raw.alias("raw"))
-    return out.select("key", "bytes")
+    # T.6, two rows: odd keys four white and four black columns by a horizontal code, then a pass code; even keys two vertical codes
+    raw = F.unhex(F.when(F.col("o_orderkey") % 2 == 1, "36C4").otherwise("C0"))
+    return read(s, d, "orders").select(F.col("o_orderkey").alias("key"), F.hex(P.pdf_ccitt_decode(raw, F.lit(-1), F.lit(8), F.lit(2), F.lit(False))).alias("bytes"))
 
 
 @query("SELECT p_partkey AS key, (((64 + p_size) + 7) // 8 * 8)::BIGINT AS size FROM part")
@@ -473,9 +474,11 @@ def text_winansi_builtin(s, d):
     return read(s, d, "documents").select("doc_id", B.decode_bytes(F.encode("text", "ISO-8859-1")).alias("text"))
 
 
-@query("SELECT l_orderkey AS doc_id, l_linenumber AS seq, (sum(l_quantity::BIGINT) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - l_quantity::BIGINT)::BIGINT AS offset FROM lineitem")
+@query(f"""SELECT l_orderkey AS doc_id, (row_number() OVER (PARTITION BY l_orderkey ORDER BY {', '.join(_ORDER)}))::INTEGER AS seq,
+(sum(l_quantity::BIGINT) {_OVER} - l_quantity::BIGINT)::BIGINT AS "offset" FROM lineitem""")
 def write_offsets(s, d):
-    chunks = read(s, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("seq"), F.col("l_quantity").cast("bigint").alias("size"))
+    seq = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*_ORDER))
+    chunks = read(s, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), seq.alias("seq"), F.col("l_quantity").cast("bigint").alias("size"))
     return relational.write_offsets(chunks).select("doc_id", "seq", "offset")
 
 

@@ -95,9 +95,9 @@ def operator_counts(ops: DataFrame) -> DataFrame:
     return counts.join(dim, "operator", "left").select("operator", F.coalesce("class", F.lit("other")).alias("class"), "n")
 
 
-def predictor_sum(value: Column, group: list[str], order: str) -> Column:
+def predictor_sum(value: Column, group: list[str], *order: str) -> Column:
     """Undo a Sub, Up or TIFF predictor: a running sum modulo 256 along the group."""
-    w = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return F.pmod(F.sum(value).over(w), F.lit(256))
 
 
