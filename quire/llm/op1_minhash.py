@@ -12,9 +12,9 @@ postings share one among the c - MATCH + 1 rarest of each. Only those are merged
 Merging also skips by two bits of each coordinate, which a posting carries: equal coordinates have equal bits, so a pair with
 fewer than MATCH equal bit pairs cannot have MATCH collisions and is never made. This loses nothing.
 
-Groups of near copies are collapsed before pairs are made. In each of ROUNDS rounds every posting picks a member as its
-hub by a hash, every text is confirmed or not against the likeliest hub of another component, and components are joined
-up. All likely (text, hub) pairs, confirmed or not, span clusters. Where a cluster still has several components, the
+Groups of near copies are collapsed before pairs are made. Every posting picks ROUNDS of its members as hubs by hashes;
+the likely pairs of a text and a hub span clusters. In each of ROUNDS rounds every text is confirmed or not against its
+likeliest hub of another component, and components are joined up. Where a cluster still has several components, the
 texts outside its largest one, usually few, are compared exactly to the largest one's and to each other in tasks of at
 most two chunks of CHUNK texts, which find intersections by an inverted index and hand on spanning links only. What is
 likely across clusters is made as pairs and confirmed. So every link between different components is tried, no task holds a
@@ -182,9 +182,6 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     shared = posted.groupBy("key").agg(F.count("*").alias("f")).where("f > 1")
     posts = posted.join(shared, "key").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("f", "key"))).alias("posts")).where(F.size("posts") >= MATCH)
     posts = stage(posts.select("rep", F.expr(f"transform(slice(posts, 1, size(posts) - {MATCH - 1}), x -> x.key)").alias("keys")), "posts")
-    # only texts that can be in a pair; each is moved once
-    wanted = posts.select(F.col("rep").alias("doc_id"))
-    texts = stage(src.join(wanted, "doc_id"), "texts")
     sigs = stage(classes.drop("d2").join(posts, "rep"), "sigs")
     prefixes = sigs.select("rep", "n", "low", "high", F.explode("keys").alias("key"))
 
@@ -196,32 +193,44 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
         b = renamed(sigs, rep="b", sig="sb")
         return pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(_count, "a long, b long, same int")
 
+    # likely pairs of a text and a hub of one of its postings; what they connect is a cluster
+    agree = "bit_count(~((low ^ low2) | (high ^ high2)))"
+    likely = f"least(n, n2) * 100 >= greatest(n, n2) * {percent} and {agree} >= {MATCH}"
+    hub = (F.min_by(F.struct("rep", "n", "low", "high"), F.xxhash64("rep", "key", F.lit(r))) for r in range(ROUNDS))
+    hubs = prefixes.groupBy("key").agg(F.array_distinct(F.array(*hub)).alias("hs"), F.count("*").alias("c")).where("c > 1").select("key", F.explode("hs").alias("h"))
+    hubs = hubs.select("key", F.col("h.rep").alias("b"), *(F.col(f"h.{c}").alias(c + "2") for c in ("n", "low", "high")))
+    spokes = prefixes.join(hubs, "key").where(f"rep <> b and {likely}").groupBy(F.col("rep").alias("a"), "b").agg(F.first(F.expr(agree)).alias("same"))
+    spokes = stage(spokes, "spokes")
+    clusters = stage(components(spokes).select(F.col("id").alias("rep"), F.col("component").alias("cluster")), "clusters")
+
+    # what is likely across clusters
+    placed = prefixes.join(clusters, "rep", "left").withColumn("cluster", F.coalesce("cluster", "rep"))
+    spread = placed.groupBy("key").agg(F.min("cluster").alias("least"), F.max("cluster").alias("most")).where("least < most").select("key")
+    placed = stage(placed.join(spread, "key"), "placed")
+    other = placed.select("key", F.col("rep").alias("b"), *(F.col(c).alias(c + "2") for c in ("n", "low", "high", "cluster")))
+    across = placed.join(other, "key").where(f"rep < b and cluster <> cluster2 and {likely}").select(F.col("rep").alias("a"), "b").distinct()
+    across = stage(counted(across), "across")
+
+    # only texts that are in a likely pair are moved, and each once
+    wanted = stage(clusters.select("rep").unionByName(renamed(across, a="rep")).unionByName(renamed(across, b="rep")).distinct(), "wanted")
+    texts = stage(src.join(renamed(wanted, rep="doc_id"), "doc_id"), "texts")
+    digests = stage(sigs.join(wanted, "rep").select("rep", "d1"), "digests")
+
     def confirmed(pairs: DataFrame) -> DataFrame:
-        d = sigs.select("rep", "d1")
-        named = pairs.select("a", "b").join(renamed(d, rep="a", d1="da"), "a").join(renamed(d, rep="b", d1="db"), "b")
+        named = pairs.select("a", "b").join(renamed(digests, rep="a", d1="da"), "a").join(renamed(digests, rep="b", d1="db"), "b")
         full = named.join(renamed(texts, doc_id="a", text="ta"), "a").join(renamed(texts, doc_id="b", text="tb"), "b")
         return full.select("a", "b", "da", "db", "ta", "tb").mapInArrow(_confirmer(shingle_words, percent), "a long, b long")
 
-    agree = "bit_count(~((low ^ low2) | (high ^ high2)))"
-    likely = f"label <> label2 and least(n, n2) * 100 >= greatest(n, n2) * {percent} and {agree} >= {MATCH}"
-    live = prefixes.withColumn("label", F.col("rep"))
-    links = groups = hubs_tried = None
-    for r in range(ROUNDS):
-        hub = F.min_by(F.struct("rep", "n", "low", "high", "label"), F.xxhash64("rep", "key", F.lit(r)))
-        spread = live.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"), hub.alias("h")).where("least < most")
-        hubs = spread.select("key", F.col("h.rep").alias("b"), *(F.col(f"h.{c}").alias(c + "2") for c in ("n", "low", "high", "label")))
-        spokes = stage(live.join(hubs, "key").where(likely).groupBy(F.col("rep").alias("a"), "b").agg(F.first(F.expr(agree)).alias("same")), "spokes")
-        best = spokes.groupBy("a").agg(F.max(F.struct("same", "b")).alias("x")).select("a", "x.b")
+    left, links, groups = spokes, None, None
+    for _ in range(ROUNDS):
+        best = left.groupBy("a").agg(F.max(F.struct("same", "b")).alias("x")).select("a", "x.b")
         new = stage(confirmed(best), "links")
-        hubs_tried = spokes.select("a", "b") if hubs_tried is None else hubs_tried.unionByName(spokes.select("a", "b"))
         links = new if links is None else links.unionByName(new)
         groups = stage(components(links), "groups")
-        live = prefixes.join(groups.select(F.col("id").alias("rep"), F.col("component").alias("label")), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-        live = stage(live, "labelled")
+        left = spokes.join(renamed(groups, id="a", component="la"), "a", "left").join(renamed(groups, id="b", component="lb"), "b", "left").where("coalesce(la, a) <> coalesce(lb, b)")
 
     # clusters with several components: the texts outside the largest one against all
-    clusters = components(hubs_tried).select(F.col("id").alias("rep"), F.col("component").alias("cluster"))
-    of = stage(clusters.join(groups.withColumnRenamed("id", "rep"), "rep", "left").select("rep", "cluster", F.coalesce("component", "rep").alias("label")), "clusters")
+    of = stage(clusters.join(groups.withColumnRenamed("id", "rep"), "rep", "left").select("rep", "cluster", F.coalesce("component", "rep").alias("label")), "labels")
     shares = of.groupBy("cluster", "label").agg(F.count("*").alias("c"))
     sizes = shares.groupBy("cluster").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.max("c").alias("inside"), F.sum("c").alias("total")).where("inside < total")
     sizes = sizes.select("cluster", "main", F.ceil(F.col("inside") / CHUNK).alias("mains"), F.ceil((F.col("total") - F.col("inside")) / CHUNK).alias("outs"))
@@ -235,17 +244,11 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     tasks = among.unionByName(against).select(*cell, "rep", "label", "outside", "chunk", "mains", "outs")
     # clusters of one task are solved some at a time
     per = F.when((F.col("mains") == 1) & (F.col("outs") == 1), F.pmod(F.xxhash64("cluster"), F.lit(max(64, wanted.count() // CHUNK)))).otherwise(F.xxhash64(*cell))
-    full = tasks.withColumn("bucket", per).drop("mains", "outs").join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep").join(sigs.select("rep", "d1"), "rep")
+    full = tasks.withColumn("bucket", per).drop("mains", "outs").join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep").join(digests, "rep")
     new = stage(full.groupBy("bucket").applyInPandas(_solver(shingle_words, percent), "a long, b long"), "links")
     links = links.unionByName(new)
 
-    # what is likely across clusters
-    far = live.join(clusters, "rep", "left").withColumn("cluster", F.coalesce("cluster", "rep"))
-    spread = far.groupBy("key").agg(F.min("cluster").alias("least"), F.max("cluster").alias("most")).where("least < most").select("key")
-    far = stage(far.join(spread, "key"), "far")
-    other = far.select("key", F.col("rep").alias("b"), *(F.col(c).alias(c + "2") for c in ("n", "low", "high", "label", "cluster")))
-    across = far.join(other, "key").where(f"rep < b and cluster <> cluster2 and {likely}").select(F.col("rep").alias("a"), "b").distinct()
-    links = links.unionByName(stage(confirmed(counted(across)), "links"))
+    links = links.unionByName(stage(confirmed(across), "links"))
     groups = components(links)
     of_class = classes.join(groups.withColumnRenamed("id", "rep"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component_id"))
     return (
