@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +13,8 @@ MAX_BYTES = 2147483647  # what a Spark row can hold; longer files are out of sco
 
 def read_pdfs(spark: SparkSession, *paths: str) -> DataFrame:
     """All PDFs under the paths. The paths are united as they are: a file that two of them reach comes twice."""
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", PATTERN).load(list(paths))
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", PATTERN)
+    df = reduce(DataFrame.unionByName, map(reader.load, paths))
     return df.select(F.xxhash64("path").alias("doc_id"), "path", "modificationTime", "length", "content")
 
 
