@@ -241,6 +241,9 @@ class Document:
     def _page(self, n: int) -> dict:
         return as_dict(self.object(n)) or {}
 
+    def fonts_of(self, n: int) -> dict[str, FontInfo]:
+        return self.page_fonts(self._page(n))
+
     def page_content(self, n: int) -> bytes:
         return self.stream_bytes(self._page(n).get("Contents"))
 

@@ -9,7 +9,7 @@ from ..kernel.document import Document
 from ..kernel.writer import pack as pack_document
 from ..kernel.writer import write_classic
 from .batches import ERROR, map_documents, with_password
-from .tables import _UNEXPECTED, _fault
+from .tables import UNEXPECTED, fault
 
 _INPUTS = ["doc_id", "content", "password"]
 
@@ -20,8 +20,8 @@ def _rewrite(files: DataFrame, how) -> DataFrame:
             d = Document.load(content or b"", password or b"")
             out, skipped = how(d)
             yield doc_id, out, len(content), len(out), skipped, None
-        except (PdfError, *_UNEXPECTED) as e:
-            yield doc_id, None, len(content or b""), None, None, _fault(e)
+        except (PdfError, *UNEXPECTED) as e:
+            yield doc_id, None, len(content or b""), None, None, fault(e)
 
     schema = f"doc_id bigint, content binary, original_bytes bigint, packed_bytes bigint, skipped bigint, error {ERROR}"
     return map_documents(with_password(files), rows, schema, _INPUTS, weight=lambda r: len(r[1] or b""))

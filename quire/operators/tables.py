@@ -20,10 +20,11 @@ from ..kernel.lexer import tokens as lex_tokens
 from .batches import ERROR, map_documents, with_password
 
 _INPUTS = ["doc_id", "content", "password"]
-_UNEXPECTED = (RecursionError, MemoryError, ValueError, TypeError, IndexError, KeyError, OverflowError, AttributeError)
+KINDS = {"n": "in_use", "c": "compressed", "f": "free"}
+UNEXPECTED = (RecursionError, MemoryError, ValueError, TypeError, IndexError, KeyError, OverflowError, AttributeError)
 
 
-def _fault(e: BaseException) -> tuple:
+def fault(e: BaseException) -> tuple:
     return e.row() if isinstance(e, PdfError) else ("SyntaxError", None, f"{type(e).__name__}: {e}"[:200])
 
 
@@ -57,8 +58,8 @@ def load(files: DataFrame, mode: str = "resilient", merge: str = "newest") -> Da
         try:
             d = _open(content, password, mode, merge)
             yield doc_id, mode, True, d.xref.recovered, d.encrypted, d.object_count(), d.xref_kind(), d.version(), None
-        except (PdfError, *_UNEXPECTED) as e:
-            yield doc_id, mode, False, None, None, 0, None, None, _fault(e)
+        except (PdfError, *UNEXPECTED) as e:
+            yield doc_id, mode, False, None, None, 0, None, None, fault(e)
 
     schema = f"doc_id bigint, mode string, ok boolean, recovered boolean, encrypted boolean, objects bigint, xref_kind string, version string, error {ERROR}"
     return map_documents(with_password(files), rows, schema, _INPUTS)
@@ -70,12 +71,12 @@ def xref(files: DataFrame, mode: str = "resilient", revisions: bool = False) ->
     def rows(doc_id, content, password):
         try:
             d = _open(content, password, mode)
-        except (PdfError, *_UNEXPECTED):
+        except (PdfError, *UNEXPECTED):
             return
         found = d.xref.revisions if revisions else [(0, n, e) for n, e in d.xref.entries.items()]
         for rev, n, (kind, a, b) in found:
             yield (
-                doc_id, n, {"n": "in_use", "c": "compressed", "f": "free"}[kind], a if kind == "n" else None, b if kind != "c" else None,
+                doc_id, n, KINDS[kind], a if kind == "n" else None, b if kind != "c" else None,
                 a if kind == "c" else None, b if kind == "c" else None, a if kind == "f" else None, rev,
             )
 
@@ -89,7 +90,7 @@ def trailer(files: DataFrame) -> DataFrame:
     def rows(doc_id, content, password):
         try:
             d = _open(content, password)
-        except (PdfError, *_UNEXPECTED):
+        except (PdfError, *UNEXPECTED):
             return
         for k, v in d.xref.trailer.items():
             yield doc_id, k, json.dumps(tagged(v))
@@ -104,8 +105,8 @@ def _each_object(content, password):
         if entry[0] != "f":
             try:
                 yield n, entry[2] if entry[0] == "n" else 0, d.object(n), None
-            except (PdfError, *_UNEXPECTED) as e:
-                yield n, None, None, _fault(e)
+            except (PdfError, *UNEXPECTED) as e:
+                yield n, None, None, fault(e)
 
 
 def objects(files: DataFrame) -> DataFrame:
@@ -115,8 +116,8 @@ def objects(files: DataFrame) -> DataFrame:
         try:
             for n, gen, v, error in _each_object(content, password):
                 yield doc_id, n, gen, None if error else kind_of(v), None if error else json.dumps(tagged(v)), error
-        except (PdfError, *_UNEXPECTED) as e:
-            yield doc_id, None, None, None, None, _fault(e)
+        except (PdfError, *UNEXPECTED) as e:
+            yield doc_id, None, None, None, None, fault(e)
 
     out = map_documents(with_password(files), rows, f"doc_id bigint, obj_id bigint, gen int, kind string, value string, error {ERROR}", _INPUTS)
     return out.withColumn("value", F.parse_json("value"))
@@ -146,7 +147,7 @@ def object_kv(files: DataFrame) -> DataFrame:
                         doc_id, n, list(path), kind, x if kind == "bool" else None, x if kind == "int" else None, x if kind == "real" else None,
                         str(x) if kind == "name" else None, x if kind == "string" else None, x.id if kind == "ref" else None, x.gen if kind == "ref" else None,
                     )
-        except (PdfError, *_UNEXPECTED):
+        except (PdfError, *UNEXPECTED):
             return
 
     schema = "doc_id bigint, obj_id bigint, path array<string>, kind string, b boolean, i bigint, r double, s string, bytes binary, ref_id bigint, ref_gen int"
@@ -159,7 +160,7 @@ def streams(files: DataFrame, decoded: bool = False) -> DataFrame:
     def rows(doc_id, content, password):
         try:
             d = _open(content, password)
-        except (PdfError, *_UNEXPECTED):
+        except (PdfError, *UNEXPECTED):
             return
         for n, entry in sorted(d.xref.entries.items()):
             if entry[0] != "n":
@@ -170,8 +171,8 @@ def streams(files: DataFrame, decoded: bool = False) -> DataFrame:
                     continue
                 names = [k for k, _ in filter_spec({k: d.resolve(x) for k, x in v.dict.items() if k in ("Filter", "DecodeParms")})]
                 yield doc_id, n, v.data, names, d.stream_bytes(v) if decoded else None, None
-            except (PdfError, *_UNEXPECTED) as e:
-                yield doc_id, n, None, None, None, _fault(e)
+            except (PdfError, *UNEXPECTED) as e:
+                yield doc_id, n, None, None, None, fault(e)
 
     schema = f"doc_id bigint, obj_id bigint, raw binary, filters array<string>, decoded binary, error {ERROR}"
     return map_documents(with_password(files), rows, schema, _INPUTS, weight=lambda r: len(r[2] or b"") + len(r[4] or b""))
@@ -184,7 +185,7 @@ def pages(files: DataFrame) -> DataFrame:
         try:
             for i, n in enumerate(_open(content, password).page_ids()):
                 yield doc_id, i + 1, n
-        except (PdfError, *_UNEXPECTED):
+        except (PdfError, *UNEXPECTED):
             return
 
     return map_documents(with_password(files), rows, "doc_id bigint, page_no int, page_obj_id bigint", _INPUTS)
@@ -195,15 +196,15 @@ def _each_page(doc_id, content, password, wanted, one):
     try:
         d = _open(content, password)
         ids = d.page_ids()
-    except (PdfError, *_UNEXPECTED) as e:
-        yield None, None, _fault(e)
+    except (PdfError, *UNEXPECTED) as e:
+        yield None, None, fault(e)
         return
     for i, n in enumerate(ids):
         if wanted is None or i + 1 in wanted:
             try:
                 yield i + 1, one(d, n), None
-            except (PdfError, *_UNEXPECTED) as e:
-                yield i + 1, None, _fault(e)
+            except (PdfError, *UNEXPECTED) as e:
+                yield i + 1, None, fault(e)
 
 
 def page_text(files: DataFrame, page_numbers: set[int] | None = None, kerning: float = -100.0) -> DataFrame:
@@ -249,6 +250,32 @@ def spans(files: DataFrame, page_numbers: set[int] | None = None, kerning: float
     return map_documents(with_password(files), rows, f"doc_id bigint, page_no int, {_SPAN}, error {ERROR}", _INPUTS)
 
 
+def fonts(files: DataFrame, page_numbers: set[int] | None = None) -> DataFrame:
+    """Fonts that pages can use: encoding, style, widths by code, and how many codes have a text of their own."""
+
+    def rows(doc_id, content, password):
+        for no, found, error in _each_page(doc_id, content, password, page_numbers, Document.fonts_of):
+            if error:
+                yield doc_id, no, *[None] * 8, error
+            for name, f in sorted((found or {}).items()):
+                yield doc_id, no, name, f.encoding, len(f.cmap) if f.cmap else 0, bool(f.cmap and f.cmap.wide), list(f.widths.items()), f.missing, f.bold, f.italic, None
+
+    schema = f"doc_id bigint, page_no int, font_name string, encoding string, codes int, wide boolean, widths map<int,float>, missing_width float, is_bold boolean, is_italic boolean, error {ERROR}"
+    return map_documents(with_password(files), rows, schema, _INPUTS)
+
+
+def font_codes(files: DataFrame, page_numbers: set[int] | None = None) -> DataFrame:
+    """The codes of pages' fonts and their texts, from ToUnicode maps or the embedded font file."""
+
+    def rows(doc_id, content, password):
+        for no, found, _ in _each_page(doc_id, content, password, page_numbers, Document.fonts_of):
+            for name, f in sorted((found or {}).items()):
+                for code, text in sorted(f.cmap.codes.items()) if f.cmap else ():
+                    yield doc_id, no, name, code, text
+
+    return map_documents(with_password(files), rows, "doc_id bigint, page_no int, font_name string, code bigint, text string", _INPUTS)
+
+
 def operations(files: DataFrame, page_numbers: set[int] | None = None) -> DataFrame:
     """Content operations of pages in order; operands as tagged JSON."""
 
@@ -265,15 +292,20 @@ def operations(files: DataFrame, page_numbers: set[int] | None = None) -> DataFr
     return map_documents(with_password(files), rows, f"doc_id bigint, page_no int, seq int, operator string, operands string, error {ERROR}", _INPUTS)
 
 
+def token_row(pos: int, kind: str, v) -> tuple:
+    """(pos, kind, i, r, s, bytes) of a token."""
+    return (
+        pos, kind, v if kind == "int" else None, v if kind == "real" else None,
+        str(v) if kind in ("name", "error") else (v.decode("latin-1") if kind == "keyword" else None), v if kind in ("string", "hex_string") else None,
+    )
+
+
 def tokens(df: DataFrame, content_col: str = "content", content_syntax: bool = False) -> DataFrame:
     """Tokens of a binary column, by the file's or by the content-stream grammar."""
 
     def rows(doc_id, raw):
-        for seq, (pos, kind, v) in enumerate(lex_tokens(raw or b"", content_syntax)):
-            yield (
-                doc_id, seq, pos, kind, v if kind == "int" else None, v if kind == "real" else None,
-                str(v) if kind in ("name", "error") else (v.decode("latin-1") if kind == "keyword" else None), v if kind in ("string", "hex_string") else None,
-            )
+        for seq, t in enumerate(lex_tokens(raw or b"", content_syntax)):
+            yield doc_id, seq, *token_row(*t)
 
     src = df.select("doc_id", F.col(content_col).alias("content"))
     return map_documents(src, rows, "doc_id bigint, seq int, pos bigint, kind string, i bigint, r double, s string, bytes binary", ["doc_id", "content"])

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..kernel.content import OPERATOR_CLASS
+from ..session import checkpointed
 
 
 def latest(revisions: DataFrame) -> DataFrame:
@@ -35,6 +36,7 @@ def dangling(object_kv: DataFrame, entries: DataFrame) -> DataFrame:
 
 def reachable(object_kv: DataFrame, roots: DataFrame, max_rounds: int = 1000) -> DataFrame:
     """(doc_id, obj_id) of what roots(doc_id, obj_id) lead to: frontier joins until nothing is new."""
+    checkpointed(object_kv.sparkSession)
     edges = references(object_kv).select("doc_id", F.col("from_id").alias("obj_id"), "to_id").distinct().checkpoint()
     seen = frontier = roots.select("doc_id", "obj_id").distinct().checkpoint()
     for _ in range(max_rounds):

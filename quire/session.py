@@ -26,6 +26,15 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def checkpointed(spark: SparkSession) -> SparkSession:
+    """Have a folder for checkpoint(): the shared one of spark.checkpoint.dir, one of our own only where none is set, as in tests."""
+    jsc = spark.sparkContext._jsc.sc()
+    if not jsc.getCheckpointDir().isDefined():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        spark.sparkContext.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="quire-"))
+    return spark
+
+
 def local_session(cores: int | str = "*", memory: str = "8g", **conf: str) -> SparkSession:
     """A session on this machine, for tests and the bench."""
     b = SparkSession.builder.master(f"local[{cores}]").config("spark.ui.enabled", "false").config("spark.driver.memory", memory)

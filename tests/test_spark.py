@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import builtin as B
 from quire.functions import scalar as P
+from quire.functions import table_functions as T
 from quire.kernel import synth
 from quire.operators import sink, tables
 from quire.plans import metrics, relational
@@ -47,7 +48,6 @@ def test_objects(mixed):
 def test_page_tree_and_reachability(spark, mixed):
     kv = tables.object_kv(mixed.where("doc_id in (1, 2)"))
     assert sorted((r.doc_id, r.page_no, r.page_obj_id) for r in relational.page_tree(kv).collect()) == [(1, 1, 4), (1, 2, 6), (2, 1, 4)]
-    spark.sparkContext.setCheckpointDir(str(spark.conf.get("spark.local.dir", "/tmp")) + "/quire-test-checkpoint")
     assert relational.reachable(kv, spark.createDataFrame([(1, 1)], "doc_id long, obj_id long")).count() == 7
 
 
@@ -108,6 +108,31 @@ def test_sql_functions(spark):
     assert (row.a, row.b, row.c, row.d, row.e, row.f, row.g, row.h) == ("Hi", "Io", "€", "Ä", "BBF316E8D940AF0AD3", None, "0F", "6129")
 
 
+def test_table_functions(spark, mixed):
+    T.register(spark)
+    mixed.createOrReplaceTempView("mixed_files")
+
+    def rows(name: str, columns: str, where: str = "true") -> list[tuple]:
+        return sorted(tuple(r) for r in spark.sql(f"SELECT f.doc_id, {columns} FROM mixed_files f, LATERAL {name}(f.content) t WHERE {where}").collect())
+
+    assert rows("pdf_pages", "page_no, page_obj_id", "doc_id < 3") == [(1, 1, 4), (1, 2, 6), (2, 1, 4)]
+    assert rows("pdf_text", "page_no, text") == [(1, 1, "eins"), (1, 2, "zwei"), (2, 1, "drei"), (4, 1, "vier")]
+    assert rows("pdf_spans", "text, is_bold", "doc_id = 2") == [(2, "drei", False)]
+    for name, kept in (("pdf_xref", tables.xref(mixed)), ("pdf_objects", tables.objects(mixed).where("error is null")), ("pdf_operations", tables.operations(mixed).where("error is null"))):
+        assert len(rows(name, "1")) == kept.count()
+    assert [r[2] for r in rows("pdf_tokens", "seq, kind", "doc_id = 3")] == ["keyword", "keyword"]
+    page = "00000000" + "30" + "00" + "01" + "00000013" + "00000040" + "00000008" + "00" * 11
+    assert [tuple(r) for r in spark.sql(f"SELECT number, type, page, length(payload) FROM jbig2_segments(x'{page}')").collect()] == [(0, 48, 1, 19)]
+
+
+def test_fonts(spark):
+    f = from_bytes(spark, [(1, synth.build("ab\nba", font="tounicode")), (2, synth.build("ab", font="macroman")), (3, b"no document")])
+    got = {r.doc_id: r for r in tables.fonts(f).collect()}
+    assert got[1].codes > 0 and got[2].codes == 0 and got[2].encoding == "MacRomanEncoding" and got[3].error.kind == "RecoveryFailed"
+    assert {"a", "b"} <= {r.text for r in tables.font_codes(f).where("doc_id = 1").collect()}
+    assert tables.font_codes(f).where("doc_id <> 1").count() == 0
+
+
 def test_builtin_edges(spark):
     df = spark.createDataFrame([(bytearray(b"%PDF-1.4\nxx startxref\n5"),), (bytearray(b"none"),)], "c binary")
     assert [tuple(r) for r in df.select(B.header_version(F.col("c")), B.last_startxref(F.col("c")), read_at(F.col("c"), F.lit(1), F.lit(3)), read_at(F.col("c"), F.lit(2), F.lit(99))).collect()] == [("1.4", 5, bytearray(b"PDF"), None), ("Unknown", None, bytearray(b"one"), None)]
