@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import builtin as B
 from ..functions import scalar as P
+from ..functions import table_functions as T
 from ..operators import sink, tables
 from ..sources import synthetic
 from . import metrics, relational
@@ -331,6 +332,39 @@ def jbig2_dims(s, d):
     return read(s, d, "part").select(F.col("p_partkey").alias("key"), F.length(P.pdf_jbig2_decode(F.unhex(page))).cast("bigint").alias("size"))
 
 
+@query("SELECT p_partkey AS key, 48::INTEGER AS type, 1::BIGINT AS page, 19::INTEGER AS size FROM part")
+def jbig2_parts(s, d):
+    """The segments of a page header, by the table function."""
+    T.register(s)
+    page = F.concat(F.lit("00000000300001" + "00000013"), F.lpad(F.hex(F.lit(64) + F.col("p_size")), 8, "0"), F.lit("00000008" + "00" * 11))
+    read(s, d, "part").select(F.col("p_partkey").alias("key"), F.unhex(page).alias("raw")).createOrReplaceTempView("_quire_segments")
+    return s.sql("SELECT key, t.type, t.page, length(t.payload) AS size FROM _quire_segments, LATERAL jbig2_segments(raw) t")
+
+
+@query("SELECT doc_id, len(list_distinct(string_split(replace(text, chr(10), ''), '')))::INTEGER AS codes, TRUE AS wide, TRUE AS same FROM documents WHERE text <> ''")
+def font_texts(s, d):
+    files = _documents(s, d, font="tounicode")
+    texts = tables.font_codes(files).groupBy("doc_id").agg(F.count_distinct("text").alias("n"))
+    fonts = tables.fonts(files).where("codes > 0").select("doc_id", "codes", F.lit(True).alias("wide"))
+    return fonts.join(texts, "doc_id").select("doc_id", "codes", "wide", (F.col("codes") == F.col("n")).alias("same"))
+
+
+def _table_function(name: str, sql: str, columns: str, call: str, **layout) -> None:
+    @query(sql, name)
+    def run(s, d):
+        T.register(s)
+        _documents(s, d, **layout).createOrReplaceTempView(f"_quire_{name}")
+        return s.sql(f"SELECT f.doc_id, {columns} FROM _quire_{name} f, LATERAL {call} t")
+
+
+_table_function("sql_text", _PAGE_SQL, "t.page_no, t.text", "pdf_text(f.content)", per_page=LINES)
+_table_function("sql_text_encrypted", "SELECT doc_id, 1::INTEGER AS page_no, text FROM documents", "t.page_no, t.text", "pdf_text(f.content, f.password)", cipher="aes128", password=PASSWORD)
+_table_function(
+    "sql_pages", f"SELECT doc_id, p::INTEGER AS page_no, (2 + 2 * p)::BIGINT AS page_obj_id FROM (SELECT doc_id, unnest(range(1, {_PAGES} + 1)) AS p FROM documents)",
+    "t.page_no, t.page_obj_id", "pdf_pages(f.content)", per_page=LINES,
+)
+
+
 @query("SELECT o_orderkey AS key, regexp_replace(printf('%.5f', o_totalprice), '\\.?0+$', '') AS text FROM orders")
 def serialize_reals(s, d):
     return read(s, d, "orders").select(F.col("o_orderkey").alias("key"), F.decode(P.pdf_serialize("o_totalprice"), "UTF-8").alias("text"))

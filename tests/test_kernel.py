@@ -347,3 +347,9 @@ def test_mutations_never_break_out():
                 d.page_text(p), d.page_spans(p)
         except PdfError:
             pass
+
+
+def test_large_file():
+    raw = synth.large(2)
+    d = Document.load(raw, strict=True)
+    assert len(raw) > 2 << 20 and d.object_count() == 4 and len(d.object(3).data) == 2 << 20 and d.page_ids() == []

@@ -88,6 +88,20 @@ def test_files_and_data_source(spark, tmp_path):
     assert len(list(out.glob("*.pdf"))) == 2
 
 
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
+    import quire.__main__ as cli
+
+    monkeypatch.setattr(cli, "local_session", lambda: spark)
+    (tmp_path / "a.pdf").write_bytes(synth.build("eins\nzwei", per_page=1))
+    (tmp_path / "b.pdf").write_bytes(b"no document")
+    assert cli.main(["extract-text", str(tmp_path / "a.pdf")]) == 0 and capsys.readouterr().out == "eins\nzwei\n"
+    assert cli.main(["extract-text", str(tmp_path / "a.pdf"), "--page", "2"]) == 0 and capsys.readouterr().out == "zwei\n"
+    assert cli.main(["extract-text", str(tmp_path / "a.pdf"), "--page", "0"]) == 2
+    assert cli.main(["inspect", str(tmp_path)]) == 0 and "RecoveryFailed" in capsys.readouterr().out
+    assert cli.main(["pack", str(tmp_path), str(tmp_path / "out")]) == 0 and [p.name for p in (tmp_path / "out").iterdir()] == ["a.pdf"]
+    assert cli.main(["bench", str(tmp_path)]) == 0 and "RecoveryFailed" in capsys.readouterr().out
+
+
 def test_streaming_ingest(spark, tmp_path):
     from quire.streaming import ingest
 
