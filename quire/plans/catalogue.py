@@ -304,7 +304,7 @@ def span_styles(s, d):
 
 
 @query("""WITH w AS (SELECT o_orderkey AS doc_id, o_orderpriority AS t, unnest(string_split(o_orderpriority, '')) AS ch FROM orders)
-SELECT doc_id, t AS text, round(sum(CASE WHEN ch IN (' ', '.', ',', ':', ';', '!', '''', '|', 'i', 'l', 'j', 't', 'f', 'r', 'I', '1') THEN 278 WHEN ch IN ('m', 'w', 'M', 'W', '@', '%', '—') THEN 750 ELSE 500 END) * 0.012, 2) AS width
+SELECT doc_id, t AS text, round(sum(CASE WHEN ch IN (' ', '.', ',', ':', ';', '!', '''', '|', 'i', 'l', 'j', 't', 'f', 'r', 'I', '1') THEN 278 WHEN ch IN ('m', 'w', 'M', 'W', '@', '%', '—') THEN 750 ELSE 500 END)::DOUBLE * 0.012::DOUBLE, 2) AS width
 FROM w GROUP BY doc_id, t""")
 def span_widths(s, d):
     text = F.concat(F.lit("BT /F1 12 Tf ("), F.col("o_orderpriority"), F.lit(") Tj ET"))
