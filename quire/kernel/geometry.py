@@ -5,6 +5,10 @@ from __future__ import annotations
 import math
 from ctypes import c_float
 
+import numpy as np
+
+from .encodings import decode_text
+
 IDENTITY = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
 STACK = 256
 EMPTY_SIZE = 12.0
@@ -94,6 +98,31 @@ def _number(v) -> float:
     return f32(float(v)) if isinstance(v, (int, float)) and not isinstance(v, bool) else 0.0
 
 
+class Steps(dict):
+    """Advance of each character under one font, size and spacing; found when first asked for."""
+
+    def __init__(self, info, size: float, char_space: float, word_space: float, scale: float):
+        self.info, self.size, self.char_space, self.word_space, self.scale = info, size, char_space, word_space, scale
+
+    def __missing__(self, ch: str) -> float:
+        g = f32
+        w = self.info.widths.get(ord(ch)) if self.info else None
+        if w is None:
+            w = self.info.missing if self.info and self.info.missing is not None else default_width(ch)
+        step = g(g(g(w / 1000.0) * self.size) + self.char_space)
+        if ch == " ":
+            step = g(step + self.word_space)
+        self[ch] = step = g(step * self.scale)
+        return step
+
+    def along(self, s: str, start: float) -> float:
+        """start and the advances of s, added one after another in single precision."""
+        steps = np.fromiter(map(self.__getitem__, s), np.float32, len(s))
+        with np.errstate(all="ignore"):
+            steps[0] += np.float32(start)
+            return float(np.add.accumulate(steps)[-1])
+
+
 class Tracker:
     """Folds operations into spans: (text, bbox, font name, size, bold, italic, matrix)."""
 
@@ -104,6 +133,7 @@ class Tracker:
         self.font, self.size, self.encoding, self.cmap = "", 0.0, "WinAnsiEncoding", None
         self.char_space = self.word_space = self.leading = self.rise = 0.0
         self.scale = 100.0
+        self.steps: dict[tuple, Steps] = {}
 
     def run(self, operations) -> list[tuple]:
         out: list[tuple] = []
@@ -163,24 +193,19 @@ class Tracker:
         self.tm = self.line = multiply(translation(x, y), self.line)
 
     def _show(self, items: list, out: list) -> None:
-        from .encodings import decode_text
-
         g = f32
         info = self.fonts.get(self.font)
-        widths, missing = (info.widths, info.missing) if info else ({}, None)
         k = g(self.scale / 100.0)
+        state = (self.font, self.size, self.char_space, self.word_space, k)
+        if state not in self.steps:
+            self.steps[state] = Steps(info, self.size, self.char_space, self.word_space, k)
+        steps = self.steps[state]
         text, advance = "", 0.0
         for item in items:
             if isinstance(item, bytes):
                 s = self.cmap.decode(item, self.encoding) if self.cmap else decode_text(item, self.encoding)
-                for ch in s:
-                    w = widths.get(ord(ch))
-                    if w is None:
-                        w = missing if missing is not None else default_width(ch)
-                    step = g(g(g(w / 1000.0) * self.size) + self.char_space)
-                    if ch == " ":
-                        step = g(step + self.word_space)
-                    advance = g(advance + g(step * k))
+                if s:
+                    advance = steps.along(s, advance)
                 text += s.lstrip(" \t\n\r\x0b\x0c\x85\xa0") if text.endswith(" ") and s.startswith(" ") else s
             elif isinstance(item, (int, float)) and not isinstance(item, bool):
                 v = f32(float(item))
