@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from codecs import charmap_decode
+
 LATIN = [chr(i) for i in range(256)]
 
 
@@ -54,8 +56,4 @@ def decode_text(raw: bytes, encoding: str = "WinAnsiEncoding") -> str:
         return utf16(raw[2:], False)
     if raw[:3] == b"\xef\xbb\xbf":
         return raw[3:].decode("utf-8", "replace")
-    s = raw.decode("latin-1")
-    return s.translate(_TRANSLATE[encoding]) if encoding in _TRANSLATE else s
-
-
-_TRANSLATE = {k: {i: c for i, c in enumerate(t) if c != chr(i)} for k, t in TABLES.items()}
+    return charmap_decode(raw, "strict", TABLES[encoding])[0] if encoding in TABLES else raw.decode("latin-1")

@@ -8,8 +8,11 @@ from .base import Keyword, Name, PdfError
 
 _SKIP = re.compile(rb"(?:[\x00\t\n\x0c\r ]+|%[^\r\n]*)+")
 _BLANK = re.compile(rb"[\x00\t\n\x0c\r ]+")
-_REGULAR = re.compile(rb"[^\x00\t\n\x0c\r ()<>\[\]{}/%]+")
-_NAME = re.compile(rb"[^\x00\t\n\x0c\r ()<>\[\]{}/%]*")
+#: Blanks and comments, then a whole number that ends here, a name, a bracket, or a run of regular characters.
+_TOKEN = re.compile(
+    rb"(?:[\x00\t\n\x0c\r ]+|%[^\r\n]*)*"
+    rb"(?:([+-]?[0-9]{1,18})(?=[\x00\t\n\x0c\r ()<>\[\]{}/%]|\Z)|/([^\x00\t\n\x0c\r ()<>\[\]{}/%]*)|(<<|>>|\[|\])|([^\x00\t\n\x0c\r ()<>\[\]{}/%]+))?"
+)
 _PLAIN = re.compile(rb"[^()\\]*")
 _INT = re.compile(rb"[+-]?[0-9]+\Z")
 _REAL = re.compile(rb"[+-]?(?:[0-9]+\.?[0-9]*(?:[eE][+-]?[0-9]+)?|\.[0-9]+(?:[eE][+-]?[0-9]+)?|inf|infinity|nan)\Z", re.I)
@@ -21,6 +24,7 @@ _OCTAL = re.compile(rb"[0-7]{1,3}")
 #: Kinds of tokens; comments are skipped and never come out.
 ARRAY_START, ARRAY_END, DICT_START, DICT_END = Keyword(b"["), Keyword(b"]"), Keyword(b"<<"), Keyword(b">>")
 END = object()
+_MARKS = {bytes(k): k for k in (ARRAY_START, ARRAY_END, DICT_START, DICT_END)}
 
 
 def unescape(raw: bytes) -> bytes:
@@ -72,47 +76,35 @@ class Lexer:
 
     def next(self):
         """The next token, END at the end: None, bool, int, float, Name, bytes of a string, or a Keyword."""
-        self.skip()
-        data, at = self.data, self.pos
-        if at >= len(data):
-            return END
-        c = data[at]
-        if c == 0x2F:
-            m = _NAME.match(data, at + 1)
-            self.pos = m.end()
+        data = self.data
+        m = _TOKEN.match(data, self.pos)
+        self.pos = m.end()
+        k = m.lastindex
+        if k == 1:
+            return int(m[1])
+        if k == 2:
             try:
-                return Name(m[0].decode())
+                return Name(m[2].decode())
             except UnicodeDecodeError:
-                raise PdfError("SyntaxError", "name is not UTF-8", at) from None
-        if c == 0x28:
+                raise PdfError("SyntaxError", "name is not UTF-8", m.start(2) - 1) from None
+        if k == 3:
+            return _MARKS[m[3]]
+        if k == 4:
+            if self.content and (n := _NUMBER.match(data, m.start(4))):
+                self.pos = n.end()
+                if n[1] is not None and n[2] is None and n[3] is None and -(2**63) <= int(n[0]) < 2**63:
+                    return int(n[0])
+                return float(n[0])
+            return self._regular(m[4])
+        at = self.pos
+        if at >= len(data):
+            return END
+        if data[at] == 0x28:
             return self._literal(at)
-        if c == 0x3C:
-            if data[at + 1 : at + 2] == b"<":
-                self.pos = at + 2
-                return DICT_START
+        if data[at] == 0x3C:
             return self._hex(at)
-        if c == 0x3E:
-            if data[at + 1 : at + 2] == b">":
-                self.pos = at + 2
-                return DICT_END
-            self.pos = at + 1
-            raise PdfError("SyntaxError", "lone >", at)
-        if c == 0x5B or c == 0x5D:
-            self.pos = at + 1
-            return ARRAY_START if c == 0x5B else ARRAY_END
-        if self.content and (m := _NUMBER.match(data, at)):
-            self.pos = m.end()
-            if m[1] is not None and m[2] is None and m[3] is None:
-                n = int(m[0])
-                if -(2**63) <= n < 2**63:
-                    return n
-            return float(m[0])
-        m = _REGULAR.match(data, at)
-        if not m:
-            self.pos = at + 1
-            raise PdfError("SyntaxError", "unexpected delimiter", at)
-        self.pos = m.end()
-        return self._regular(m[0])
+        self.pos = at + 1
+        raise PdfError("SyntaxError", "lone >" if data[at] == 0x3E else "unexpected delimiter", at)
 
     def _regular(self, t: bytes):
         if t == b"true":

@@ -14,6 +14,8 @@ _START = re.compile(rb"startxref")
 _OBJ = re.compile(rb"(?:(?<=[\t\n\x0c\r ])|\A)obj(?=[\x00\t\n\x0c\r <\[(/%]|\Z)")
 _HEAD = re.compile(rb"(?:\A|[^0-9])([0-9]{1,10})[\x00\t\n\x0c\r ]+([0-9]{1,5})[\x00\t\n\x0c\r ]*\Z")
 _LOOK_BACK = 64
+#: An entry as nearly all files write it; others go through the lexer.
+_ENTRY = re.compile(rb"[\t\n\x0c\r ]*([0-9]{1,10})[ ]+([0-9]{1,5})[ ]+([nf])(?=[\t\n\x0c\r ])")
 
 
 @dataclass
@@ -53,6 +55,10 @@ def _classic(data: bytes, lex: Lexer, rows: list, revision: int) -> dict:
         if count > limit:
             raise PdfError("SyntaxError", "xref subsection longer than the file", lex.pos)
         for i in range(count):
+            if m := _ENTRY.match(data, lex.pos):
+                lex.pos = m.end()
+                rows.append((revision, t + i, (m[3].decode(), int(m[1]), int(m[2]))))
+                continue
             offset, gen, kind = lex.next(), lex.next(), lex.next()
             if type(offset) is not int or type(gen) is not int or kind not in (b"n", b"f"):
                 raise PdfError("SyntaxError", "bad xref entry", lex.pos)
