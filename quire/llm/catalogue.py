@@ -58,10 +58,16 @@ jump AS (
   UNION ALL
   SELECT doc_id, k, x, j, floor((j + 1)::DOUBLE * (2147483648.0::DOUBLE / ((x // 8589934592) + 1)::DOUBLE))::BIGINT
   FROM (SELECT *, (key * 2862933555777941757 + 1) % 18446744073709551616 AS x FROM jump WHERE j < k)),
-at AS (SELECT doc_id, max(b) FILTER (k = 24) AS shard, max(b) FILTER (k = 25) AS grown_shard FROM jump GROUP BY doc_id)
-SELECT doc_id, (octet_length(encode(coalesce(text, ''))) + 8)::BIGINT AS size, 'key' AS law, shard::INTEGER AS shard,
-  (row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1)::BIGINT AS slot, grown_shard::INTEGER AS grown_shard
-FROM documents JOIN at USING (doc_id)"""
+placed AS (SELECT doc_id, max(b) FILTER (k = 24) AS shard, max(b) FILTER (k = 25) AS grown_shard FROM jump GROUP BY doc_id),
+crc_step(t) AS (
+  SELECT [list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) FOR i IN range(256)]),
+bytes AS (
+  SELECT doc_id, text, [(strpos('0123456789ABCDEF', h[1]) * 16 + strpos('0123456789ABCDEF', h[2]) - 17)::BIGINT FOR h IN regexp_extract_all(hex(encode(coalesce(text, ''))), '..')] AS b FROM documents),
+crc AS (
+  SELECT doc_id, len(b) + 8 AS size, xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295::BIGINT) AS text_crc32 FROM bytes, crc_step)
+SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'key' AS law, shard::INTEGER AS shard,
+  (row_number() OVER (PARTITION BY shard ORDER BY doc_id, text_crc32, size) - 1)::BIGINT AS slot, grown_shard::INTEGER AS grown_shard
+FROM crc JOIN placed USING (doc_id)"""
 
 OP5_SQL = """
 WITH v AS (
@@ -81,5 +87,4 @@ SELECT e.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, component_id, e.vec_id = c
 
 
 def oracle_sql() -> dict[str, str]:
-    """op3 needs a CRC-32, which the SQL engine lacks; a test holds its other columns against OP3_SQL."""
-    return {"op1_minhash": OP1_SQL, "op5_topk": OP5_SQL, "op6_licenses": op6_licenses.oracle(), "op8_embeddings": OP8_SQL}
+    return {"op1_minhash": OP1_SQL, "op3_shards": OP3_SQL, "op5_topk": OP5_SQL, "op6_licenses": op6_licenses.oracle(), "op8_embeddings": OP8_SQL}
