@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +16,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Words are hashed a slice of text at a time, so that memory does not follow the batch.
 SLICE_BYTES = 1 << 20
+#: Edges that one task may hold at once.
+EDGES = 1 << 20
 _rng = np.random.default_rng(20240607)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64)
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -52,34 +55,74 @@ def stage(df: DataFrame, name: str, partition_by: str | None = None) -> DataFram
     return spark.read.schema(df.schema).parquet(path)
 
 
-def components(edges: DataFrame) -> DataFrame:
+def roots(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of the edges (u, v) and the smallest node that each reaches."""
+    nodes, at = np.unique(np.concatenate((u, v)), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    low = np.arange(len(nodes))
+    while True:
+        x, y = low[a], low[b]
+        apart = np.flatnonzero(x != y)
+        if not len(apart):
+            return nodes, nodes[low]
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(low, np.maximum(x, y), np.minimum(x, y))
+        while (low != (up := low[low])).any():
+            low = up
+
+
+def _contract(batches):
+    """Stars with the same components as the edges of a partition, EDGES of them at a time."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+
+    def stars():
+        u, v = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+        nodes, low = roots(u, v)
+        some = nodes != low
+        return nodes[some], low[some]
+
+    for b in batches:
+        held.append((b.column(0).to_numpy(), b.column(1).to_numpy()))
+        size += b.num_rows
+        if size >= 2 * EDGES:
+            held = [stars()]
+            size = len(held[0][0])
+            if size >= EDGES:  # contracting again would gain little
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[0]], ["u", "v"])
+                held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in stars()], ["u", "v"])
+
+
+def _label(batches):
+    edges = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if edges:
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in roots(*(np.concatenate([e[i] for e in edges]) for i in (0, 1)))], ["id", "component"])
+
+
+def components(edges: DataFrame, bound: int = EDGES) -> DataFrame:
     """(id, component) of each node of edges(a, b): component is the smallest id reachable.
 
-    Alternating large-star and small-star rounds: O(log n) of them, each a partial aggregate and an equi-join, each
-    staged. No neighbour list is ever gathered and nothing but a count and a checksum comes to the driver.
+    Every partition first contracts its edges to stars. While more than bound edges are left, a round of hooking contracts
+    the graph across partitions: each node takes the smallest node next to it for its label, which halves the nodes
+    of a component at least, by a partial aggregate and two equi-joins. What is left, at most bound edges, is labelled by
+    one task, and the rounds are undone by a join each. Rounds are staged; nothing but a count comes to the driver.
     """
-
-    def canonical(df: DataFrame) -> DataFrame:
-        return df.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
-
-    def star(both: DataFrame) -> DataFrame:
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        return both.join(low, "u")
-
-    now = stage(canonical(edges.select(F.col("a").alias("u"), F.col("b").alias("v"))), "edges")
-    mark = None
-    while True:
+    now = stage(edges.where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v")).mapInArrow(_contract, "u long, v long"), "stars")
+    rounds = []
+    while now.count() > bound:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = star(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = star(canonical(large))
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
-        now = stage(canonical(small), "stars")
-        row = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        if (row.n, row.s) == mark:
-            break
-        mark = (row.n, row.s)
-    roots = now.select(F.col("v").alias("id")).distinct()
-    return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots.select("id", F.col("id").alias("component")))
+        hook = stage(both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("to")), "hooks")
+        rounds.append(hook)
+        moved = now.join(hook.withColumnRenamed("to", "a"), "u").join(hook.select(F.col("u").alias("v"), F.col("to").alias("b")), "v").where("a <> b")
+        moved = moved.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+        now = stage(moved.mapInArrow(_contract, "u long, v long"), "stars")
+    out = now.repartition(1).mapInArrow(_label, "id long, component long")
+    for hook in reversed(rounds):
+        known = stage(out, "labels").withColumnRenamed("id", "to")
+        out = hook.join(known, "to", "left").select(F.col("u").alias("id"), F.coalesce("component", "to").alias("component"))
+    return out
 
 
 def mix(x: np.ndarray) -> np.ndarray:
