@@ -4,7 +4,8 @@ Byte-pair encoding by an agenda: adjacent pairs whose union is a piece wait in a
 a pair that comes up is merged unless a keyed hash of (seed, variant, place, piece) says to skip it, which drops that candidate.
 With dropout 0 the ids are SentencePiece's own. No piece of such a vocabulary crosses into a word's leading space
 marks (this is checked), so words are encoded apart; each occurrence draws one of VARIANTS variants by a keyed hash of seed, document and place, and
-(word, variant) is encoded once a worker. Unknown characters fall back to bytes.
+(word, variant) is encoded once while a worker keeps it. The new words of a slice of texts are merged together, each taking the best of its agenda
+in step with the others; long words and those with unknown characters, which fall back to bytes, are merged alone, with the same result.
 
 Decoding gives the text back to the byte for every seed and rate: a literal space mark in a text, which SentencePiece would turn into a space, is spelt in
 bytes here.
@@ -15,23 +16,41 @@ variant follows from seed, doc_id and place); a null doc_id keys as 0; an empty
 
 from __future__ import annotations
 
-import heapq
 import re
 import zlib
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import mix
+from .shared import mix, slices
 
 MARK = "▁"
 VARIANTS = 8
+#: Words of each variant that a worker keeps; longer ones than 28 bits can number are out of scope.
+WORDS = 100_000
+_PLACE = (1 << 28) - 1
+#: Words of up to WIDTH characters are merged TOGETHER at a time.
+WIDTH, TOGETHER = 48, 1 << 14
+NONE = np.iinfo(np.int32).max
 _WORD = re.compile(f"{MARK}+[^{MARK}\x00]*|[^{MARK}\x00]+|\x00+")
 _models: dict[str, Model] = {}
 
 
+def variant_key(seed: int, variant: int) -> int:
+    return zlib.crc32(f"{seed}\t{variant}".encode())
+
+
+def drawn(rank, place, key):
+    """A keyed 32-bit hash of a candidate; numbers or arrays of uint64."""
+    h = (rank * 0x9E3779B1 ^ key + place * 0x85EBCA6B) & 0xFFFFFFFF
+    h = (h ^ h >> 15) * 0x2C1B3C6D & 0xFFFFFFFF
+    h = (h ^ h >> 12) * 0x297A2D39 & 0xFFFFFFFF
+    return h ^ h >> 15
+
+
 class Model:
     """Pieces and scores of a byte-fallback BPE model file."""
 
@@ -40,79 +59,147 @@ class Model:
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         self.ids: dict[str, int] = {}
-        self.score: dict[str, float] = {}
         self.bytes: list[int] = [0] * 256
-        self.text: list[str] = []
-        self.byte_of: dict[int, int] = {}
+        #: What each id stands for in a text.
+        self.raw: list[bytes] = []
+        score: dict[str, float] = {}
         for i in range(sp.get_piece_size()):
             piece = sp.id_to_piece(i)
-            self.text.append(piece)
             if sp.is_byte(i):
                 self.bytes[int(piece[3:5], 16)] = i
-                self.byte_of[i] = int(piece[3:5], 16)
-            elif not sp.is_control(i) and not sp.is_unknown(i):
-                self.ids[piece], self.score[piece] = i, sp.get_score(i)
+                self.raw.append(bytes([int(piece[3:5], 16)]))
+            else:
+                self.raw.append(piece.replace(MARK, " ").encode("utf-8", "surrogatepass"))
+                if not sp.is_control(i) and not sp.is_unknown(i):
+                    self.ids[piece], score[piece] = i, sp.get_score(i)
+        place = {x: r for r, x in enumerate(sorted(set(score.values()), reverse=True))}
+        #: Rank of each piece's score, the best 0; equal scores have equal ranks.
+        self.rank: dict[str, int] = {p: place[x] for p, x in score.items()}
         if crossing := [p for p in self.ids if re.search(f"[^{MARK}]{MARK}", p)]:
             raise ValueError(f"pieces cross into the next word: {crossing[:3]}")
-        if len(self.byte_of) != 256:
+        if sum(sp.is_byte(i) for i in range(sp.get_piece_size())) != 256:
             raise ValueError("the model has no byte fallback")
-        self.cache: dict = {}
+        splits = [(self.ids[p[:k]] << 20 | self.ids[p[k:]], i) for p, i in self.ids.items() for k in range(1, len(p)) if p[:k] in self.ids and p[k:] in self.ids]
+        table = np.array(sorted(splits), dtype=np.int64).reshape(-1, 2)
+        self.pair, self.union = table[:, 0].copy(), table[:, 1].astype(np.int32)
+        self.rank_of = np.full(sp.get_piece_size(), NONE, dtype=np.int32)
+        self.char = np.full(0x110000, -1, dtype=np.int32)
+        for p, i in self.ids.items():
+            self.rank_of[i] = self.rank[p]
+            if len(p) == 1:
+                self.char[ord(p)] = i
+        self.cache: dict[tuple, list[dict[str, tuple[int, ...]]]] = {}
 
     def merge(self, word: str, rate: float, seed: int, variant: int) -> tuple[int, ...]:
-        """Ids of one word by the agenda."""
-        n = len(word)
-        parts: list[str | None] = list(word)
-        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        agenda: list[tuple[float, int, int]] = []
+        """Ids of one word by the agenda. A part is named by where it starts; end has where it ends, 0 once it is merged away."""
+        n, rank = len(word), self.rank.get
+        end, before = list(range(1, n + 1)), list(range(-1, n - 1))
         limit = int(rate * 2**32)
-
-        def propose(i: int) -> None:
-            j = after[i]
-            if j < n:
-                score = self.score.get(parts[i] + parts[j])  # type: ignore[operator]
-                if score is not None:
-                    heapq.heappush(agenda, (-score, i, len(parts[i]) + len(parts[j])))  # type: ignore[arg-type]
-
-        for i in range(n - 1):
-            propose(i)
+        key = variant_key(seed, variant)
+        # a candidate is one number: rank, start, end
+        agenda = [r << 56 | i << 28 | (i + 2) for i in range(n - 1) if (r := rank(word[i : i + 2])) is not None]
+        heapify(agenda)
         while agenda:
-            _, i, size = heapq.heappop(agenda)
-            j = after[i] if parts[i] is not None else n
-            if j >= n or len(parts[i]) + len(parts[j]) != size:  # type: ignore[arg-type]
+            x = heappop(agenda)
+            i, e = x >> 28 & _PLACE, x & _PLACE
+            m = end[i]
+            if not m or m >= e or end[m] != e:
                 continue
-            if limit and zlib.crc32(f"{seed}\t{variant}\t{i}\t{parts[i]}\t{parts[j]}".encode()) < limit:
+            if limit and drawn(x >> 56, i, key) < limit:
                 continue
-            parts[i] += parts[j]  # type: ignore[operator]
-            parts[j] = None
-            after[i] = after[j]
-            if after[i] < n:
-                before[after[i]] = i
-            if before[i] >= 0:
-                propose(before[i])
-            propose(i)
+            end[i], end[m] = e, 0
+            if e < n:
+                before[e] = i
+                if (r := rank(word[i : end[e]])) is not None:
+                    heappush(agenda, r << 56 | i << 28 | end[e])
+            if (b := before[i]) >= 0 and (r := rank(word[b:e])) is not None:
+                heappush(agenda, r << 56 | b << 28 | e)
         out: list[int] = []
-        for p in parts:
-            if p is not None:
-                i = self.ids.get(p)
-                out += [i] if i is not None else [self.bytes[b] for b in p.encode("utf-8", "surrogatepass")]
+        i = 0
+        while i < n:
+            piece = word[i : end[i]]
+            k = self.ids.get(piece)
+            out += [k] if k is not None else [self.bytes[b] for b in piece.encode("utf-8", "surrogatepass")]
+            i = end[i]
         return tuple(out)
 
-    def encode(self, text: str, rate: float = 0.0, seed: int = 0, key: int = 0) -> list[int]:
-        if not text:
-            return []
-        # a literal mark travels as NUL through the words; NUL itself is spelt in bytes as well
+    def _unions(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Piece that parts a and b make, and its rank, NONE if they make none."""
+        want = a.astype(np.int64) << 20 | b
+        at = np.minimum(np.searchsorted(self.pair, want), len(self.pair) - 1)
+        union = self.union[at]
+        return union, np.where(self.pair[at] == want, self.rank_of[union], NONE)
+
+    def merge_many(self, words: list[str], keys: np.ndarray, limit: int) -> list[tuple[int, ...]]:
+        """merge for many words of known characters: every word takes the best of its agenda in step with the others."""
+        size = np.array([len(w) for w in words])
+        n, width = len(words), int(size.max())
+        inside = np.arange(width) < size[:, None]
+        part = np.full((n, width), -1, dtype=np.int32)
+        part[inside] = self.char[np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype="<u4")]
+        end = np.tile(np.arange(1, width + 1, dtype=np.int32), (n, 1))
+        before = end - 2
+        alive = inside.copy()
+        union, rank = np.zeros((n, width), np.int32), np.full((n, width), NONE, dtype=np.int32)
+        row, at = np.nonzero(inside[:, 1:])
+        union[row, at], rank[row, at] = self._unions(part[row, at], part[row, at + 1])
+        live = np.arange(n)
+        while len(live):
+            now = rank[live]
+            i = now.argmin(axis=1)  # the leftmost of equals
+            r = now[np.arange(len(live)), i]
+            on = r != NONE
+            live, i, r = live[on], i[on], r[on]
+            if limit:
+                drop = drawn(r.astype(np.uint64), i.astype(np.uint64), keys[live]) < limit
+                rank[live[drop], i[drop]] = NONE
+                x, i = live[~drop], i[~drop]
+            else:
+                x = live
+            m = end[x, i]
+            e = end[x, m]
+            part[x, i], end[x, i], alive[x, m] = union[x, i], e, False
+            rank[x, i] = rank[x, m] = NONE
+            right, left = e < size[x], before[x, i] >= 0
+            before[x[right], e[right]] = i[right]
+            for y, p, q in ((x[right], i[right], e[right]), (x[left], before[x[left], i[left]], i[left])):
+                union[y, p], rank[y, p] = self._unions(part[y, p], part[y, q])
+        flat, cut = part[alive].tolist(), np.concatenate(([0], np.cumsum(alive.sum(axis=1)))).tolist()
+        return [tuple(flat[a:z]) for a, z in zip(cut, cut[1:], strict=False)]
+
+    def _learn(self, wanted: list[set[str]], tables: list[dict], rate: float, seed: int) -> None:
+        """Encode the words of each variant that the tables lack."""
+        limit = int(rate * 2**32)
+        todo = [(w, v) for v, words in enumerate(wanted) for w in words]
+        known = self.char[np.frombuffer("".join(w for w, _ in todo).encode("utf-32-le", "surrogatepass"), dtype="<u4")] >= 0
+        strange = np.concatenate(([0], np.cumsum(~known)))
+        cut = np.cumsum([0, *(len(w) for w, _ in todo)])
+        odd = (strange[cut[1:]] > strange[cut[:-1]]).tolist()
+        plain = []
+        for (w, v), o in zip(todo, odd, strict=True):
+            if o or len(w) > WIDTH:
+                tables[v][w] = self.merge(w, rate, seed, v)
+            else:
+                plain.append((w, v))
+        plain.sort(key=lambda x: len(x[0]))
+        keys = np.array([variant_key(seed, v) for v in range(VARIANTS)], dtype=np.uint64)
+        for lo in range(0, len(plain), TOGETHER):
+            group = plain[lo : lo + TOGETHER]
+            for (w, v), ids in zip(group, self.merge_many([w for w, _ in group], keys[[v for _, v in group]], limit), strict=True):
+                tables[v][w] = ids
+
+    def _runs(self, text: str, rate: float, seed: int, key: int):
+        """Words and their variants, and the ids of literal marks between them.
+
+        A literal mark travels as NUL through the words; NUL itself is spelt in bytes as well.
+        """
         plain = MARK not in text and "\x00" not in text
-        runs = [text] if plain else re.split(f"([{MARK}\x00])", text)
-        out: list[int] = []
         at = 0
-        for k, run in enumerate(runs):
+        for k, run in enumerate([text] if plain else re.split(f"([{MARK}\x00])", text)):
             if k % 2:
-                out += [self.bytes[b] for b in run.encode()]
+                yield None, [self.bytes[b] for b in run.encode()]
                 continue
-            s = run.replace(" ", MARK)
-            if k == 0:
-                s = MARK + s
-            words = _WORD.findall(s)
+            words = _WORD.findall((MARK if k == 0 else "") + run.replace(" ", MARK))
             if rate:
                 place = np.arange(at, at + len(words), dtype=np.uint64)
                 keyed = mix(np.array([key & (2**64 - 1)], dtype=np.uint64) ^ np.uint64((seed * 0x9E3779B97F4A7C15) % 2**64))
@@ -120,24 +207,39 @@ class Model:
             else:
                 variants = [0] * len(words)
             at += len(words)
-            for w in zip(words, variants, strict=True):
-                ids = self.cache.get((w, rate, seed))
-                if ids is None:
-                    if len(self.cache) > 400_000:
-                        self.cache.clear()
-                    ids = self.cache[w, rate, seed] = self.merge(w[0], rate, seed, w[1])
-                out += ids
+            yield words, variants
+
+    def encode_all(self, texts: list[str], keys: list[int], rate: float = 0.0, seed: int = 0) -> list[list[int]]:
+        tables = self.cache.setdefault((rate, seed), [{} for _ in range(VARIANTS)])
+        for t in tables:
+            if len(t) >= WORDS:
+                t.clear()
+        plans = [list(self._runs(t, rate, seed, k)) if t else [] for t, k in zip(texts, keys, strict=True)]
+        wanted: list[set[str]] = [set() for _ in range(VARIANTS)]
+        for plan in plans:
+            for words, variants in plan:
+                for w, v in zip(words or (), variants, strict=False):
+                    if w not in tables[v]:
+                        wanted[v].add(w)
+        if any(wanted):
+            self._learn(wanted, tables, rate, seed)
+        out = []
+        for plan in plans:
+            ids: list[int] = []
+            for words, variants in plan:
+                if words is None:
+                    ids += variants
+                else:
+                    for w, v in zip(words, variants, strict=True):
+                        ids += tables[v][w]
+            out.append(ids)
         return out
 
+    def encode(self, text: str, rate: float = 0.0, seed: int = 0, key: int = 0) -> list[int]:
+        return self.encode_all([text], [key], rate, seed)[0]
+
     def decode(self, ids) -> str:
-        raw = bytearray()
-        for i in ids:
-            b = self.byte_of.get(i)
-            if b is None:
-                raw += self.text[i].replace(MARK, " ").encode("utf-8", "surrogatepass")
-            else:
-                raw.append(b)
-        return raw[1:].decode("utf-8", "surrogatepass") if raw else ""
+        return b"".join(map(self.raw.__getitem__, ids))[1:].decode("utf-8", "surrogatepass")
 
 
 def model(path: str) -> Model:
@@ -152,10 +254,11 @@ def encode(docs: DataFrame, model_path: str, dropout: float = 0.1, seed: int = 0
     def run(batches):
         m = model(model_path)
         for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                part = b.slice(lo, 256)
-                ids = [None if t is None else np.array(m.encode(t, dropout, seed, k or 0), dtype=np.int32) for k, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+            keys, texts = ([k or 0 for k in b.column(0).to_pylist()], b.column(1).to_pylist())
+            for lo, hi in slices(texts):
+                found = m.encode_all([t or "" for t in texts[lo:hi]], keys[lo:hi], dropout, seed)
+                ids = [None if t is None else np.array(x, dtype=np.int32) for t, x in zip(texts[lo:hi], found, strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -179,13 +282,14 @@ def round_trip(docs: DataFrame, model_path: str, dropout: float = 0.1, seed: int
         m = model(model_path)
         for b in batches:
             n, crc, chars, text_crc = [], [], [], []
-            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = m.encode(t or "", dropout, seed, k or 0)
-                back = m.decode(ids)
-                n.append(len(ids))
-                crc.append(zlib.crc32(np.array(ids, dtype="<u4").tobytes()))
-                chars.append(len(back))
-                text_crc.append(zlib.crc32(back.encode("utf-8", "surrogatepass")))
+            keys, texts = ([k or 0 for k in b.column(0).to_pylist()], [t or "" for t in b.column(1).to_pylist()])
+            for lo, hi in slices(texts):
+                for ids in m.encode_all(texts[lo:hi], keys[lo:hi], dropout, seed):
+                    back = m.decode(ids)
+                    n.append(len(ids))
+                    crc.append(zlib.crc32(np.array(ids, dtype="<u4").tobytes()))
+                    chars.append(len(back))
+                    text_crc.append(zlib.crc32(back.encode("utf-8", "surrogatepass")))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.int64()) for x in (n, crc, chars, text_crc))], ["doc_id", "n_pieces", "ids_crc32", "n_chars", "text_crc32"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_pieces long, ids_crc32 long, n_chars long, text_crc32 long")

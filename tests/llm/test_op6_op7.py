@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import sentencepiece
 from quire.llm import op6_licenses as lic
 from quire.llm import op7_pieces as sp
@@ -87,3 +88,13 @@ def test_frames(spark):
     rows = {r.doc_id: r for r in sp.round_trip(frame(spark, texts), PATH, dropout=0.2, seed=5).collect()}
     assert all(rows[i].n_chars == len(t or "") for i, t in texts.items())
     assert sp.encode(frame(spark, {}), PATH).count() == 0
+
+
+def test_words_together_are_as_words_alone():
+    m = sp.model(PATH)
+    rnd = random.Random(4)
+    words = ["▁" * (i % 3) + "".join(rnd.choice("aeinorstlhdéu.") for _ in range(rnd.randrange(1, 30))) for i in range(2000)]
+    for rate in (0.0, 0.1, 0.7):
+        variants = [rnd.randrange(sp.VARIANTS) for _ in words]
+        keys = np.array([sp.variant_key(9, v) for v in variants], dtype=np.uint64)
+        assert m.merge_many(words, keys, int(rate * 2**32)) == [m.merge(w, rate, 9, v) for w, v in zip(words, variants, strict=True)]
