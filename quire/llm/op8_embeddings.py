@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .shared import components, stage
 from .vectors import matrix, unpack
 
-BLOCKS, CHUNK, SCALE, SIDE = 8, 1024, 1 << 20, 2.0
+BLOCKS, CHUNK, SCALE, SIDE = 8, 4096, 1 << 20, 2.0
 _rotations: dict[int, np.ndarray] = {}
 
 
