@@ -7,8 +7,9 @@ Pivots (at most PIVOTS vectors, those of the smallest hashed ids) split data and
 a data group are its size and its k + 1 smallest distances to the pivot; of a query group, its largest distance. They give
 each query group a radius that surely holds k neighbours, and each (query group, data group) an interval of pivot
 distances outside which no data row can be a neighbour. Data rows are replicated only to the query groups whose interval
-holds them. Groups are solved locally in cells of bounded size, queries in blocks of QUERIES and data in chunks of ROWS,
-so that neither a large group nor equal vectors meet in one task; a query's k best of each cell are merged at the end.
+holds them. Groups are solved locally in cells of bounded size, queries in blocks of QUERIES and the data that a group
+needs in chunks of ROWS, so that neither a large group nor equal vectors meet in one task; a query's k best of each cell
+are merged at the end.
 
 Nulls and odd cases: vectors that are null or hold null or non-finite components, and rows without an id, take no part;
 vectors of fewer components count as filled up with zeros; rows that repeat an id count once; with fewer than k other rows
@@ -97,15 +98,15 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id
     src = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("e")).where("vec_id is not null")
     data = stage(src.mapInArrow(_quantise, "vec_id long, v binary, n2 double").groupBy("vec_id").agg(F.min(F.struct("v", "n2")).alias("x")).select("vec_id", "x.v", "x.n2"), "vectors")
     asked = data.where(F.col("vec_id") % every == 0)
-    n, top2 = data.agg(F.count("*"), F.max("n2")).first()
+    top2 = data.agg(F.max("n2")).first()[0] or 0.0
     n_asked = asked.count()
     wanted = int(min(PIVOTS, max(1, n_asked // PER_PIVOT)))
-    chosen = data.orderBy(F.xxhash64("vec_id"), "vec_id").limit(wanted).collect() if n else []
+    chosen = data.orderBy(F.xxhash64("vec_id"), "vec_id").limit(wanted).collect()
     pivots = unpack([r.v for r in chosen], np.int64).astype(np.float64) if chosen else np.zeros((1, 1))
-    extra = np.sqrt(np.maximum((top2 or 0) - np.array([r.n2 for r in chosen]), 0)) if chosen else np.zeros(1)
+    extra = np.sqrt(np.maximum(top2 - np.array([r.n2 for r in chosen]), 0)) if chosen else np.zeros(1)
 
-    grouped = stage(data.mapInArrow(_assigner(pivots, extra, top2 or 0, False), "vec_id long, v binary, g int, d double"), "data")
-    queries = stage(asked.mapInArrow(_assigner(pivots, extra, top2 or 0, True), "vec_id long, v binary, g int, d double"), "queries")
+    grouped = stage(data.mapInArrow(_assigner(pivots, extra, top2, False), "vec_id long, v binary, g int, d double"), "data")
+    queries = stage(asked.mapInArrow(_assigner(pivots, extra, top2, True), "vec_id long, v binary, g int, d double"), "queries")
     # summaries: a row for each pivot
     nearest = grouped.select("g", "d", F.row_number().over(Window.partitionBy("g").orderBy("d", "vec_id")).alias("r")).where(f"r <= {k + 1}")
     lows = {r.g: sorted(r.ds) for r in nearest.groupBy("g").agg(F.collect_list("d").alias("ds")).collect()}
@@ -118,15 +119,15 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id
         for j in lows:
             slack = _SLACK * (1 + radius + between[i, j])
             bounds.append((i, j, float(between[i, j] - radius - theta - slack), float(between[i, j] + radius + theta + slack)))
-    blocks = [(i, max(1, -(-c // QUERIES))) for i, (_, c) in q_stats.items()]
-    chunks = max(1, -(-n // ROWS))
+    # the interval table has at most PIVOTS ** 2 rows, that of the groups at most PIVOTS
     interval = spark.createDataFrame(bounds, "qg int, g int, lo double, hi double")
-    per_group = spark.createDataFrame(blocks, "qg int, nb long")
-    # both are bounded by PIVOTS ** 2 rows
-    near = grouped.join(F.broadcast(interval.join(per_group, "qg")), "g").where("d >= lo and d <= hi")
-    near = near.select("qg", F.explode(F.expr("sequence(0L, nb - 1)")).alias("qb"), F.pmod(F.xxhash64("vec_id"), F.lit(chunks)).alias("chunk"), "vec_id", "v")
-    ask = queries.withColumnRenamed("g", "qg").join(F.broadcast(per_group), "qg")
-    ask = ask.select("qg", F.expr("pmod(xxhash64(vec_id, 1), nb)").alias("qb"), F.explode(F.expr(f"sequence(0L, {chunks - 1}L)")).alias("chunk"), "vec_id", "v")
+    near = grouped.join(F.broadcast(interval), "g").where("d >= lo and d <= hi").select("qg", "vec_id", "v")
+    held = {r.qg: r.n for r in near.groupBy("qg").agg(F.count("*").alias("n")).collect()}
+    cuts = [(i, -(-c // QUERIES), max(1, -(-held.get(i, 0) // ROWS))) for i, (_, c) in q_stats.items()]
+    per_group = F.broadcast(spark.createDataFrame(cuts, "qg int, blocks long, chunks long"))
+    near = near.join(per_group, "qg").select("qg", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("qb"), F.expr("pmod(xxhash64(vec_id), chunks)").alias("chunk"), "vec_id", "v")
+    ask = queries.withColumnRenamed("g", "qg").join(per_group, "qg")
+    ask = ask.select("qg", F.expr("pmod(xxhash64(vec_id, 1), blocks)").alias("qb"), F.explode(F.expr("sequence(0L, chunks - 1)")).alias("chunk"), "vec_id", "v")
     cell = ["qg", "qb", "chunk"]
     found = ask.groupBy(*cell).cogroup(near.groupBy(*cell)).applyInPandas(_solver(k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
