@@ -1,17 +1,21 @@
 """SentencePiece encoding with seeded merge-dropout, and lossless decoding.
 
 Byte-pair encoding by an agenda: adjacent pairs whose union is a piece wait in a priority queue, best score first and leftmost among equals;
-a pair that comes up is merged unless a keyed hash of (seed, variant, place, piece) says to skip it, which drops that candidate.
-With dropout 0 the ids are SentencePiece's own. No piece of such a vocabulary crosses into a word's leading space
-marks (this is checked), so words are encoded apart; each occurrence draws one of VARIANTS variants by a keyed hash of seed, document and place, and
-(word, variant) is encoded once while a worker keeps it. The new words of a slice of texts are merged together, each taking the best of its agenda
-in step with the others; long words and those with unknown characters, which fall back to bytes, are merged alone, with the same result.
+a pair that comes up is merged unless a keyed hash of (seed, document, word's place in it, span) says to skip it, which drops that candidate: every
+occurrence of a word draws for itself. With dropout 0 the ids are SentencePiece's own. No piece of such a vocabulary crosses into a word's leading space
+marks (this is checked), so words are encoded apart.
+
+What comes up until a drop follows from the word and the drops before, so a worker keeps a tree of that: a node is a word with the drops so far, and
+holds the candidates that come up if there is no other drop, and the ids they end in. Occurrences walk it by their own draws, all those of a slice of
+texts together. Nodes hold up to DEPTH drops and are made when they are met again; an occurrence without one is merged by itself. New nodes and such occurrences are merged together,
+each taking the best of its agenda in step with the others; long words and those with unknown characters, which fall back to bytes, are merged alone.
+The result is that of merge for every occurrence.
 
 Decoding gives the text back to the byte for every seed and rate: a literal space mark in a text, which SentencePiece would turn into a space, is spelt in
 bytes here.
 
-Nulls and odd cases: a null text has null ids, an empty one none; texts of any length are encoded whole; repeated rows give repeated results (a
-variant follows from seed, doc_id and place); a null doc_id keys as 0; an empty table gives no rows; other columns are not looked at.
+Nulls and odd cases: a null text has null ids, an empty one none; texts of any length are encoded whole; repeated rows give repeated results (draws
+follow from seed, doc_id and place); a null doc_id keys as 0; an empty table gives no rows; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -19,6 +23,7 @@ from __future__ import annotations
 import re
 import zlib
 from heapq import heapify, heappop, heappush
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,27 +33,80 @@ from pyspark.sql import functions as F
 from .shared import mix, slices
 
 MARK = "▁"
-VARIANTS = 8
-#: Words of each variant that a worker keeps; longer ones than 28 bits can number are out of scope.
-WORDS = 100_000
+#: An occurrence is named by 64 bits, which key its draws.
+VARIANTS = 1 << 64
+#: Nodes that a worker keeps, and the drops of one; words longer than 28 bits can number are out of scope.
+NODES, DEPTH = 400_000, 2
+#: A child that was met, but not made.
+MET = -2
 _PLACE = (1 << 28) - 1
 #: Words of up to WIDTH characters are merged TOGETHER at a time.
 WIDTH, TOGETHER = 48, 1 << 14
 NONE = np.iinfo(np.int32).max
+_ALL = (1 << 64) - 1
 _WORD = re.compile(f"{MARK}+[^{MARK}\x00]*|[^{MARK}\x00]+|\x00+")
+#: What stands for a literal mark and NUL among words.
+LITERAL = {MARK: "\x00mark", "\x00": "\x00"}
 _models: dict[str, Model] = {}
 
 
-def variant_key(seed: int, variant: int) -> int:
-    return zlib.crc32(f"{seed}\t{variant}".encode())
+def _mixed(h):
+    h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 & _ALL
+    h = (h ^ h >> 27) * 0x94D049BB133111EB & _ALL
+    return h ^ h >> 31
+
+
+def variant_key(seed: int, variant):
+    """Key of the draws of an occurrence; a number or an array of uint64."""
+    return _mixed(variant ^ seed * 0x9E3779B97F4A7C15 & _ALL)
+
+
+def drawn(span, key):
+    """A keyed 32-bit hash of a candidate, start << 32 | end in its word; numbers or arrays of uint64."""
+    return _mixed(key + (span * 0xC2B2AE3D27D4EB4F & _ALL) & _ALL) >> 32
+
+
+class Grown:
+    """An array that grows at its end."""
+
+    def __init__(self, dtype):
+        self.all, self.n = np.empty(1 << 12, dtype=dtype), 0
+
+    def add(self, x: np.ndarray) -> None:
+        if self.n + len(x) > len(self.all):
+            self.all = np.concatenate((self.all[: self.n], np.empty(self.n + 2 * len(x), dtype=self.all.dtype)))
+        self.all[self.n : self.n + len(x)] = x
+        self.n += len(x)
+
+
+class Tree:
+    """Nodes by number: a word with the drops so far, spans of the candidates that come up then and the ids they end in."""
 
+    def __init__(self):
+        self.root: dict[str, int] = {}
+        self.word: list[str] = []
+        self.drops: list[tuple[int, ...]] = []
+        self.path, self.child, self.owner, self.ids = Grown(np.uint64), Grown(np.int64), Grown(np.int64), Grown(np.int32)
+        self.path_at, self.path_n, self.ids_at, self.ids_n = (Grown(np.int64) for _ in range(4))
 
-def drawn(rank, place, key):
-    """A keyed 32-bit hash of a candidate; numbers or arrays of uint64."""
-    h = (rank * 0x9E3779B1 ^ key + place * 0x85EBCA6B) & 0xFFFFFFFF
-    h = (h ^ h >> 15) * 0x2C1B3C6D & 0xFFFFFFFF
-    h = (h ^ h >> 12) * 0x297A2D39 & 0xFFFFFFFF
-    return h ^ h >> 15
+    def add(self, words: list[str], drops: list[tuple[int, ...]], path, path_n: np.ndarray, ids, ids_n: np.ndarray) -> None:
+        """Nodes with their paths and ids, one after the other."""
+        first = len(self.word)
+        self.word += words
+        self.drops += drops
+        self.path_at.add(self.path.n + np.cumsum(path_n) - path_n)
+        self.path_n.add(path_n)
+        self.ids_at.add(self.ids.n + np.cumsum(ids_n) - ids_n)
+        self.ids_n.add(ids_n)
+        self.path.add(path)
+        self.child.add(np.full(len(path), -1))
+        self.owner.add(np.repeat(np.arange(first, first + len(words)), path_n))
+        self.ids.add(ids)
+
+
+def spread(at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """at[0], at[0] + 1, ... n[0] of them, then those of at[1], and so on."""
+    return np.repeat(at - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
 
 class Model:
@@ -88,14 +146,17 @@ class Model:
             self.rank_of[i] = self.rank[p]
             if len(p) == 1:
                 self.char[ord(p)] = i
-        self.cache: dict[tuple, list[dict[str, tuple[int, ...]]]] = {}
+        self.tree = Tree()
 
     def merge(self, word: str, rate: float, seed: int, variant: int) -> tuple[int, ...]:
-        """Ids of one word by the agenda. A part is named by where it starts; end has where it ends, 0 once it is merged away."""
+        """Ids of one occurrence of a word."""
+        limit, key = int(rate * 2**32), variant_key(seed, variant)
+        return self._alone(word, lambda span: limit and drawn(span, key) < limit)
+
+    def _alone(self, word: str, skip) -> tuple[int, ...]:
+        """Ids by the agenda, but for candidates to skip. A part is named by where it starts; end has where it ends, 0 once it is merged away."""
         n, rank = len(word), self.rank.get
         end, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        limit = int(rate * 2**32)
-        key = variant_key(seed, variant)
         # a candidate is one number: rank, start, end
         agenda = [r << 56 | i << 28 | (i + 2) for i in range(n - 1) if (r := rank(word[i : i + 2])) is not None]
         heapify(agenda)
@@ -105,7 +166,7 @@ class Model:
             m = end[i]
             if not m or m >= e or end[m] != e:
                 continue
-            if limit and drawn(x >> 56, i, key) < limit:
+            if skip(i << 32 | e):
                 continue
             end[i], end[m] = e, 0
             if e < n:
@@ -130,8 +191,8 @@ class Model:
         union = self.union[at]
         return union, np.where(self.pair[at] == want, self.rank_of[union], NONE)
 
-    def merge_many(self, words: list[str], keys: np.ndarray, limit: int) -> list[tuple[int, ...]]:
-        """merge for many words of known characters: every word takes the best of its agenda in step with the others."""
+    def _together(self, words: list[str], skip) -> tuple[np.ndarray, np.ndarray]:
+        """_alone for many words of known characters: every word takes the best of its agenda in step with the others. All ids, and how many each has."""
         size = np.array([len(w) for w in words])
         n, width = len(words), int(size.max())
         inside = np.arange(width) < size[:, None]
@@ -147,96 +208,174 @@ class Model:
         while len(live):
             now = rank[live]
             i = now.argmin(axis=1)  # the leftmost of equals
-            r = now[np.arange(len(live)), i]
-            on = r != NONE
-            live, i, r = live[on], i[on], r[on]
-            if limit:
-                drop = drawn(r.astype(np.uint64), i.astype(np.uint64), keys[live]) < limit
-                rank[live[drop], i[drop]] = NONE
-                x, i = live[~drop], i[~drop]
-            else:
-                x = live
-            m = end[x, i]
-            e = end[x, m]
+            on = now[np.arange(len(live)), i] != NONE
+            live, i = live[on], i[on]
+            m = end[live, i]
+            e = end[live, m] if len(live) else m
+            drop = skip(live, i.astype(np.uint64) << np.uint64(32) | e.astype(np.uint64))
+            rank[live[drop], i[drop]] = NONE
+            x, i, m, e = live[~drop], i[~drop], m[~drop], e[~drop]
             part[x, i], end[x, i], alive[x, m] = union[x, i], e, False
             rank[x, i] = rank[x, m] = NONE
             right, left = e < size[x], before[x, i] >= 0
             before[x[right], e[right]] = i[right]
             for y, p, q in ((x[right], i[right], e[right]), (x[left], before[x[left], i[left]], i[left])):
                 union[y, p], rank[y, p] = self._unions(part[y, p], part[y, q])
-        flat, cut = part[alive].tolist(), np.concatenate(([0], np.cumsum(alive.sum(axis=1)))).tolist()
-        return [tuple(flat[a:z]) for a, z in zip(cut, cut[1:], strict=False)]
-
-    def _learn(self, wanted: list[set[str]], tables: list[dict], rate: float, seed: int) -> None:
-        """Encode the words of each variant that the tables lack."""
-        limit = int(rate * 2**32)
-        todo = [(w, v) for v, words in enumerate(wanted) for w in words]
-        known = self.char[np.frombuffer("".join(w for w, _ in todo).encode("utf-32-le", "surrogatepass"), dtype="<u4")] >= 0
+        return part[alive], alive.sum(axis=1)
+
+    def merge_many(self, words: list[str], keys: np.ndarray, limit: int) -> list[tuple[int, ...]]:
+        """merge for many words of known characters."""
+        flat, n = self._together(words, lambda rows, spans: drawn(spans, keys[rows]) < limit)
+        ids, cut = flat.tolist(), np.cumsum([0, *n]).tolist()
+        return [tuple(ids[a:z]) for a, z in zip(cut, cut[1:], strict=False)]
+
+    def _odd(self, words: list[str]) -> list[bool]:
+        """Whether a word has unknown characters."""
+        known = self.char[np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype="<u4")] >= 0
         strange = np.concatenate(([0], np.cumsum(~known)))
-        cut = np.cumsum([0, *(len(w) for w, _ in todo)])
-        odd = (strange[cut[1:]] > strange[cut[:-1]]).tolist()
-        plain = []
-        for (w, v), o in zip(todo, odd, strict=True):
-            if o or len(w) > WIDTH:
-                tables[v][w] = self.merge(w, rate, seed, v)
-            else:
-                plain.append((w, v))
-        plain.sort(key=lambda x: len(x[0]))
-        keys = np.array([variant_key(seed, v) for v in range(VARIANTS)], dtype=np.uint64)
+        cut = np.cumsum([0, *map(len, words)])
+        return (strange[cut[1:]] > strange[cut[:-1]]).tolist()
+
+    def _grow(self, words: list[str], drops: list[tuple[int, ...]]) -> list[int]:
+        """Numbers of new nodes."""
+        tree, numbers = self.tree, [0] * len(words)
+        plain, odd, paths, ends = [], [], [], []
+        for k, strange in enumerate(self._odd(words)):
+            if not strange:
+                plain.append(k)
+                continue
+            path, left = [], list(reversed(drops[k]))
+
+            def skip(span, path=path, left=left):
+                if not left:
+                    path.append(span)
+                elif left[-1] == span:
+                    return left.pop() == span
+                return False
+
+            ends.append(self._alone(words[k], skip))
+            paths.append(path)
+            numbers[k] = len(tree.word) + len(odd)
+            odd.append(k)
+        sizes = ([len(x) for x in many] for many in (paths, ends))
+        flat = (list(chain.from_iterable(many)) for many in (paths, ends))
+        (path, ids), (path_n, ids_n) = flat, (np.array(x, dtype=np.int64) for x in sizes)
+        tree.add([words[k] for k in odd], [drops[k] for k in odd], path, path_n, ids, ids_n)
+        plain.sort(key=lambda k: len(words[k]))
         for lo in range(0, len(plain), TOGETHER):
             group = plain[lo : lo + TOGETHER]
-            for (w, v), ids in zip(group, self.merge_many([w for w, _ in group], keys[[v for _, v in group]], limit), strict=True):
-                tables[v][w] = ids
-
-    def _runs(self, text: str, rate: float, seed: int, key: int):
-        """Words and their variants, and the ids of literal marks between them.
-
-        A literal mark travels as NUL through the words; NUL itself is spelt in bytes as well.
-        """
-        plain = MARK not in text and "\x00" not in text
-        at = 0
-        for k, run in enumerate([text] if plain else re.split(f"([{MARK}\x00])", text)):
-            if k % 2:
-                yield None, [self.bytes[b] for b in run.encode()]
-                continue
-            words = _WORD.findall((MARK if k == 0 else "") + run.replace(" ", MARK))
-            if rate:
-                place = np.arange(at, at + len(words), dtype=np.uint64)
-                keyed = mix(np.array([key & (2**64 - 1)], dtype=np.uint64) ^ np.uint64((seed * 0x9E3779B97F4A7C15) % 2**64))
-                variants = (mix(place ^ keyed) % np.uint64(VARIANTS)).tolist()
-            else:
-                variants = [0] * len(words)
-            at += len(words)
-            yield words, variants
-
-    def encode_all(self, texts: list[str], keys: list[int], rate: float = 0.0, seed: int = 0) -> list[list[int]]:
-        tables = self.cache.setdefault((rate, seed), [{} for _ in range(VARIANTS)])
-        for t in tables:
-            if len(t) >= WORDS:
-                t.clear()
-        plans = [list(self._runs(t, rate, seed, k)) if t else [] for t, k in zip(texts, keys, strict=True)]
-        wanted: list[set[str]] = [set() for _ in range(VARIANTS)]
-        for plan in plans:
-            for words, variants in plan:
-                for w, v in zip(words or (), variants, strict=False):
-                    if w not in tables[v]:
-                        wanted[v].add(w)
-        if any(wanted):
-            self._learn(wanted, tables, rate, seed)
-        out = []
-        for plan in plans:
-            ids: list[int] = []
-            for words, variants in plan:
-                if words is None:
-                    ids += variants
-                else:
-                    for w, v in zip(words, variants, strict=True):
-                        ids += tables[v][w]
-            out.append(ids)
-        return out
+            told = np.full((len(group), DEPTH + 1), _ALL, dtype=np.uint64)
+            for r, k in enumerate(group):
+                told[r, : len(drops[k])] = drops[k]
+            many, done = np.array([len(drops[k]) for k in group]), np.zeros(len(group), dtype=np.int64)
+            rows_seen, spans_seen = [], []
+
+            def skip_told(rows, spans, told=told, many=many, done=done, rows_seen=rows_seen, spans_seen=spans_seen):
+                drop = told[rows, done[rows]] == spans
+                free = done[rows] == many[rows]
+                rows_seen.append(rows[free])
+                spans_seen.append(spans[free])
+                done[rows[drop]] += 1
+                return drop
+
+            ids, ids_n = self._together([words[k] for k in group], skip_told)
+            rows = np.concatenate(rows_seen)
+            path = np.concatenate(spans_seen)[np.argsort(rows, kind="stable")]
+            for r, k in enumerate(group):
+                numbers[k] = len(tree.word) + r
+            tree.add([words[k] for k in group], [drops[k] for k in group], path, np.bincount(rows, minlength=len(group)), ids, ids_n)
+        return numbers
+
+    def _walk(self, node: np.ndarray, keys: np.ndarray, limit: int) -> np.ndarray:
+        """Take each occurrence from its word's root to the node of its drops; those with more than DEPTH drops, or of a node met for the first time, are given back."""
+        tree, deep = self.tree, []
+        on = np.arange(len(node))
+        while len(on):
+            n = tree.path_n.all[node[on]]
+            at, who = spread(tree.path_at.all[node[on]], n), np.repeat(on, n)
+            hit = np.flatnonzero(drawn(tree.path.all[at], keys[who]) < limit)
+            at, on = at[hit], who[hit]
+            first = np.diff(on, prepend=-1) != 0
+            at, on = at[first], on[first]
+            full = np.array([len(d) == DEPTH for d in map(tree.drops.__getitem__, node[on].tolist())], dtype=bool)
+            wanted, many = np.unique(at[~full & (tree.child.all[at] < 0)], return_counts=True)
+            again = (many > 1) | (tree.child.all[wanted] == MET)
+            new, once = wanted[again], wanted[~again]
+            tree.child.all[once] = MET
+            full |= np.isin(at, once)
+            deep.append(on[full])
+            at, on = at[~full], on[~full]
+            if len(new):
+                owner = tree.owner.all[new].tolist()
+                tree.child.all[new] = self._grow([tree.word[o] for o in owner], [(*tree.drops[o], d) for o, d in zip(owner, tree.path.all[new].tolist(), strict=True)])
+            node[on] = tree.child.all[at]
+        return np.concatenate([*deep, np.zeros(0, dtype=np.int64)])
+
+    def _words(self, text: str) -> tuple[list[str], list[int]]:
+        """Words and their places. A literal mark or NUL between them is its own string, as no word has either; it takes no place."""
+        if MARK not in text and "\x00" not in text:
+            words = _WORD.findall(MARK + text.replace(" ", MARK))
+            return words, range(len(words))
+        words, places, at = [], [], 0
+        for k, run in enumerate(re.split(f"([{MARK}\x00])", text)):
+            found = [LITERAL[run]] if k % 2 else _WORD.findall((MARK if k == 0 else "") + run.replace(" ", MARK))
+            words += found
+            places += range(at, at + len(found))
+            at += 0 if k % 2 else len(found)
+        return words, places
+
+    def encode_all(self, texts: list[str], keys: list[int], rate: float = 0.0, seed: int = 0) -> list[np.ndarray]:
+        if len(self.tree.word) >= NODES:
+            self.tree = Tree()
+        tree, limit = self.tree, int(rate * 2**32)
+        for mark, name in LITERAL.items():
+            if name not in tree.root:
+                raw = [self.bytes[b] for b in mark.encode()]
+                tree.root[name] = len(tree.word)
+                tree.add([name], [()], [], np.array([0]), raw, np.array([len(raw)]))
+        words, variants, size = [], [np.zeros(0, dtype=np.uint64)], []
+        for t, k in zip(texts, keys, strict=True):
+            found, places = self._words(t) if t else ((), ())
+            words += found
+            size.append(len(found))
+            variants.append(mix(np.array(places, dtype=np.uint64) ^ mix(np.array([k & _ALL], dtype=np.uint64))))
+        drawing = variant_key(seed, np.concatenate(variants))
+        new = [w for w in dict.fromkeys(words) if w not in tree.root and len(w) <= WIDTH]
+        if new:
+            tree.root.update(zip(new, self._grow(new, [()] * len(new)), strict=True))
+        node = np.array([tree.root.get(w, -1) for w in words], dtype=np.int64)
+        short, alone = np.flatnonzero(node >= 0), np.flatnonzero(node < 0).tolist()
+        by: dict[int, np.ndarray | tuple[int, ...]] = {}
+        if limit:
+            found = node[short]
+            deep = short[self._walk(found, drawing[short], limit)]
+            node[short] = found
+            deep = deep[np.argsort([len(words[k]) for k in deep.tolist()], kind="stable")]
+            odd = np.array(self._odd([words[k] for k in deep.tolist()]), dtype=bool)
+            alone += deep[odd].tolist()
+            deep = deep[~odd]
+            for lo in range(0, len(deep), TOGETHER):
+                group = deep[lo : lo + TOGETHER]
+                flat, n = self._together([words[k] for k in group.tolist()], lambda rows, spans, own=drawing[group]: drawn(spans, own[rows]) < limit)
+                cut = np.concatenate(([0], np.cumsum(n))).tolist()
+                by |= {k: flat[a:z] for k, a, z in zip(group.tolist(), cut, cut[1:], strict=False)}
+        for k in alone:
+            key = int(drawing[k])
+            by[k] = self._alone(words[k], lambda span, key=key: limit and drawn(span, key) < limit)
+        apart = np.array(sorted(by), dtype=np.int64)
+        n = tree.ids_n.all[node]
+        n[apart] = [len(by[k]) for k in apart.tolist()]
+        start = np.concatenate(([0], np.cumsum(n)))
+        ids = np.empty(start[-1], dtype=np.int32)
+        whole = np.ones(len(node), dtype=bool)
+        whole[apart] = False
+        ids[spread(start[:-1][whole], n[whole])] = tree.ids.all[spread(tree.ids_at.all[node[whole]], n[whole])]
+        for k in apart.tolist():
+            ids[start[k] : start[k + 1]] = by[k]
+        return np.split(ids, start[np.cumsum(size)[:-1]]) if texts else []
 
     def encode(self, text: str, rate: float = 0.0, seed: int = 0, key: int = 0) -> list[int]:
-        return self.encode_all([text], [key], rate, seed)[0]
+        return self.encode_all([text], [key], rate, seed)[0].tolist()
 
     def decode(self, ids) -> str:
         return b"".join(map(self.raw.__getitem__, ids))[1:].decode("utf-8", "surrogatepass")
@@ -257,7 +396,7 @@ def encode(docs: DataFrame, model_path: str, dropout: float = 0.1, seed: int = 0
             keys, texts = ([k or 0 for k in b.column(0).to_pylist()], b.column(1).to_pylist())
             for lo, hi in slices(texts):
                 found = m.encode_all([t or "" for t in texts[lo:hi]], keys[lo:hi], dropout, seed)
-                ids = [None if t is None else np.array(x, dtype=np.int32) for t, x in zip(texts[lo:hi], found, strict=True)]
+                ids = [None if t is None else x for t, x in zip(texts[lo:hi], found, strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
@@ -285,9 +424,9 @@ def round_trip(docs: DataFrame, model_path: str, dropout: float = 0.1, seed: int
             keys, texts = ([k or 0 for k in b.column(0).to_pylist()], [t or "" for t in b.column(1).to_pylist()])
             for lo, hi in slices(texts):
                 for ids in m.encode_all(texts[lo:hi], keys[lo:hi], dropout, seed):
-                    back = m.decode(ids)
+                    back = m.decode(ids.tolist())
                     n.append(len(ids))
-                    crc.append(zlib.crc32(np.array(ids, dtype="<u4").tobytes()))
+                    crc.append(zlib.crc32(ids.astype("<u4").tobytes()))
                     chars.append(len(back))
                     text_crc.append(zlib.crc32(back.encode("utf-8", "surrogatepass")))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.int64()) for x in (n, crc, chars, text_crc))], ["doc_id", "n_pieces", "ids_crc32", "n_chars", "text_crc32"])

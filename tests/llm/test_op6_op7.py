@@ -99,3 +99,32 @@ def test_words_together_are_as_words_alone():
         variants = [rnd.randrange(sp.VARIANTS) for _ in words]
         keys = np.array([sp.variant_key(9, v) for v in variants], dtype=np.uint64)
         assert m.merge_many(words, keys, int(rate * 2**32)) == [m.merge(w, rate, 9, v) for w, v in zip(words, variants, strict=True)]
+
+
+def test_every_occurrence_draws_for_itself():
+    m = sp.model(PATH)
+    plain = m.encode("segmentation")
+    words = [tuple(m.encode(" segmentation" * 400, 0.1, 3, key)) for key in range(20)]
+    assert len(set(words)) == 20
+    ids = m.encode("segmentation " * 8000, 0.1, 3, 1)
+    at = [k for k, i in enumerate(ids) if m.raw[i].startswith(b" ")] + [len(ids)]
+    kinds = {tuple(ids[a:z]) for a, z in zip(at, at[1:], strict=False)}
+    assert len(kinds) > 20 and tuple(plain) in kinds
+    # of a word of one merge, each occurrence is split at the rate, not at a multiple of 1/8
+    pair = next(p for p in m.ids if len(p) == 2 and p[0] == sp.MARK and p[1].isalpha() and p[1] in m.ids)
+    n, rate = 20_000, 0.1
+    split = m.encode(" ".join([pair[1]] * n), rate, 3, 1).count(m.ids[sp.MARK])
+    assert abs(split / n - rate) < 0.01
+
+
+def test_texts_are_as_their_occurrences_alone():
+    m = sp.model(PATH)
+    texts = [*TEXTS, "the segmentation of the 日本 wordsꙮ and ꙮꙮtokens " * 30]
+    for rate in (0.0, 0.1, 0.6, 1.0):
+        for _ in range(2):  # by new nodes, and by known ones
+            for k, got in enumerate(m.encode_all(texts, [5] * len(texts), rate, 2)):
+                if sp.MARK in texts[k] or not texts[k]:
+                    continue
+                words, places = m._words(texts[k])
+                own = sp.mix(np.array(places, dtype=np.uint64) ^ sp.mix(np.array([5], dtype=np.uint64)))
+                assert got.tolist() == [i for w, o in zip(words, own.tolist(), strict=True) for i in m.merge(w, rate, 2, o)]
