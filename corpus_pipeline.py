@@ -15,8 +15,8 @@ from quire.llm.shared import stage
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; a text that is null or has no letter goes."""
-    return op9_language.keep_identified(docs)
+    """Documents whose language can be told; a text that is null, has no letter or is far from every language learned goes."""
+    return op9_language.keep_identified(docs, least=op9_language.LEAST)
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

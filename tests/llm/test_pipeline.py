@@ -54,3 +54,20 @@ def test_registered():
     assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11))
     assert set(oracle_sql()) <= set(names)
     assert [n for n, _ in pipe.STAGES] == ["language", "near_duplicates", "secrets", "packing"]
+
+
+def test_texts_of_no_learned_language_go(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    foreign = ["Быстрая коричневая лиса прыгает через ленивую собаку", "これは日本語の文章です", "Nopea ruskea kettu hyppää laiskan koiran yli", "xq zv kjw qqp wvx"]
+    clean = ["The committee will meet again on the second day of the month.", "Der Ausschuss wird sich am zweiten Tag des Monats wieder treffen."]
+    rows = [(1_000_000 + i, t, None, None, len(t)) for i, t in enumerate(foreign + clean)]
+    more = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").select([c for c in docs.columns if c in ("doc_id", "text", "lang", "source", "n_chars")])
+    kept = {r.doc_id for r in pipe.identified(spark, docs.unionByName(more, allowMissingColumns=True), sf).collect()}
+    assert {i for i in kept if i >= 1_000_000} == {1_000_004, 1_000_005}
+    assert len(kept) == docs.count() + 2
+
+
+def test_text_in_an_unknown_script_goes_whatever_was_learned(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    df = spark.createDataFrame([(1, "a b c d e f", "en", None, None), (2, "Быстрая лиса", None, None, None)], schema)
+    assert [r.doc_id for r in pipe.identified(spark, df, "").collect()] == [1]
