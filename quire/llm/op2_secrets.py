@@ -6,8 +6,13 @@ leftmost and do not overlap within a kind; those that are too short are dropped
 
 The structural kinds are reported only if their bytes parse: `jwt` is three base64url segments whose first decodes to a
 JSON object that names an algorithm and whose second decodes to JSON; `pem` is a private-key armour whose body decodes
-to a key; `der` is bare base64 or hex whose bytes are a private key in DER, every nested length filling its parent to the
-byte; `ssh` is bare base64 or hex of an OpenSSH private key whose length-prefixed fields fill it.
+to a key, or, if its headers name a cipher, to whole blocks of it; `der` is bare base64 or hex whose bytes are a private
+key in DER, every nested length filling its parent to the byte; `ssh` is bare base64 or hex of an OpenSSH private key
+whose length-prefixed fields fill it.
+
+Base64 is of either alphabet. Line breaks in keys may be real or escaped as in JSON strings, as may slashes. Bare base64
+and hex may be wrapped and indented: from each place that starts like a key, as many digits are taken across lines as the
+key's own lengths ask for.
 
 Nulls and odd cases: a null text counts as empty and has no spans; texts are scanned whole whatever their length; repeated
 rows give repeated results; other columns are not looked at. Offsets are code points, ends exclusive.
@@ -39,12 +44,25 @@ ASSIGN = re.compile(rf"({_NAMES})[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 # runs that would be dropped as too short are not matched to begin with: a shorter run holds no longer one
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
-JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]*)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
-PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----([A-Za-z0-9+/=\s]*?)-----END \1-----")
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40,}={0,2}")
-LONG_HEX = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{80,}")
+DOTS = re.compile(r"\.[A-Za-z0-9_-]+\.")
+DOTTED = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++\.[A-Za-z0-9_.-]*+")
+PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----")
+#: Escapes in JSON strings, which may themselves be escaped again.
+ESCAPED = re.compile(r"\\+([nrt/])")
+HEADER = re.compile(r"\s*[A-Za-z][A-Za-z0-9-]*:")
+BREAK = re.compile(r"[\x20\t]*(?:\\*\r?\n|(?:\\+r)?\\+n)(?:[\x20\t]|\\+t)*")
+#: What bare keys start with, a DER sequence or the OpenSSH magic; and a digit of each encoding.
+STARTS = (
+    (re.compile("M[A-P]"), re.compile(r"[A-Za-z0-9+/_-]+|\\+/"), re.compile("[A-Za-z0-9+/]"), 6),
+    (re.compile("b3BlbnNzaC1rZXktdjEA"), re.compile(r"[A-Za-z0-9+/_-]+|\\+/"), re.compile("[A-Za-z0-9+/]"), 6),
+    (re.compile("30[0-9A-Fa-f]{2}"), re.compile("[0-9A-Fa-f]+"), re.compile("[0-9A-Fa-f]"), 4),
+    (re.compile("6[Ff]70656[Ee]7373682[Dd]6[Bb]65792[Dd]763100"), re.compile("[0-9A-Fa-f]+"), re.compile("[0-9A-Fa-f]"), 4),
+)
+_ESCAPE_BEFORE = re.compile(r"\\[nrt]")
 _SSH = b"openssh-key-v1\0"
+_PLAIN = str.maketrans("-_", "+/")
 _DEPTH = 16
+PADDING = re.compile("={0,2}")
 
 
 def der_items(data: bytes, depth: int = 0) -> list | None:
@@ -120,12 +138,13 @@ def is_ssh_key(data: bytes) -> bool:
     return 1 <= n <= 64 and all(take() is not None for _ in range(n + 1)) and at == len(data)
 
 
-def _b64(s: str, url: bool = False) -> bytes | None:
-    s = s.rstrip("=")
+def _b64(s: str) -> bytes | None:
+    """Bytes of base64 of either alphabet."""
+    s = s.rstrip("=").translate(_PLAIN)
     if len(s) % 4 == 1:
         return None
     try:
-        return base64.b64decode(s + "=" * (-len(s) % 4), b"-_" if url else None, validate=True)
+        return base64.b64decode(s + "=" * (-len(s) % 4), validate=True)
     except (binascii.Error, ValueError):
         return None
 
@@ -138,10 +157,10 @@ def _json(raw: bytes | None):
 
 
 def is_jwt(head: str, body: str) -> bool:
-    h = _json(_b64(head, True))
+    h = _json(_b64(head))
     if not isinstance(h, dict) or not isinstance(h.get("alg"), str):
         return False
-    return "enc" in h or isinstance(_json(_b64(body, True)), dict)
+    return "enc" in h or isinstance(_json(_b64(body)), dict)
 
 
 def key_kind(data: bytes | None) -> str | None:
@@ -156,26 +175,128 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out + [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
 
 
-def structural_spans(text: str) -> list[tuple[str, int, int]]:
+def jwt_spans(text: str) -> list[tuple[str, int, int]]:
     out = []
-    if "eyJ" in text:
-        out += [("jwt", m.start(), m.end()) for m in JWT.finditer(text) if is_jwt(m[1], m[2])]
-    if "-----BEGIN " in text:
-        for m in PEM.finditer(text):
-            data = _b64(re.sub(r"\s+", "", m[2]))
-            if data and (key_kind(data) or "ENCRYPTED" in m[1] and der_items(data)):
-                out.append(("pem", m.start(), m.end()))
-    armoured = [(a, z) for _, a, z in out]
-    for found, decode in ((BASE64.finditer(text), lambda s: _b64(s)), (LONG_HEX.finditer(text), lambda s: bytes.fromhex(s) if len(s) % 2 == 0 else None)):
-        for m in found:
-            # a key starts with a DER sequence or the OpenSSH magic; look at the rest only then
-            if m[0][:1] not in ("M", "b", "3", "6") or any(a <= m.start() < z for a, z in armoured):
+    for m in DOTTED.finditer(text) if DOTS.search(text) else ():
+        parts = m[0].split(".")
+        at, i = m.start(), 0
+        while i + 2 < len(parts):
+            size = len(parts[i]) + len(parts[i + 1]) + len(parts[i + 2]) + 2
+            if is_jwt(parts[i], parts[i + 1]):
+                out.append(("jwt", at, at + size))
+                at += size + 1
+                i += 3
+            else:
+                at += len(parts[i]) + 1
+                i += 1
+    return out
+
+
+def is_pem_key(label: str, body: str) -> bool:
+    lines = ESCAPED.sub(lambda m: "/" if m[1] == "/" else "\n", body).replace("\r", "\n").split("\n")
+    ciphered, at = False, 0
+    while at < len(lines) and (HEADER.match(lines[at]) or not lines[at].strip()):
+        ciphered |= lines[at].strip().startswith("DEK-Info:")
+        at += 1
+    data = _b64(re.sub(r"[\s\\]+", "", "".join(lines[at:])))
+    return bool(data and (key_kind(data) or "ENCRYPTED" in label and der_items(data) or ciphered and len(data) % 8 == 0))
+
+
+def pem_spans(text: str) -> list[tuple[str, int, int]]:
+    out = []
+    for m in PEM.finditer(text):
+        end = f"-----END {m[1]}-----"
+        z = text.find("-----", m.end())
+        if z >= 0 and text.startswith(end, z) and is_pem_key(m[1], text[m.end() : z]):
+            out.append(("pem", m.start(), z + len(end)))
+    return out
+
+
+def taken(text: str, at: int, digits: re.Pattern, most: int | None) -> tuple[str, int]:
+    """Up to most digits from a place on, across line breaks, and where they end."""
+    out, have, end = [], 0, at
+    while most is None or have < most:
+        if not (m := digits.match(text, at)):
+            gap = BREAK.match(text, at)
+            if not gap or at != end or not (m := digits.match(text, gap.end())):
+                break
+        piece = "/" if m[0][0] == "\\" else m[0] if most is None else m[0][: most - have]
+        out.append(piece)
+        have += len(piece)
+        at = end = m.end() if m[0][0] == "\\" else m.start() + len(piece)
+    return "".join(out), end
+
+
+def der_size(data: bytes) -> int | None:
+    """Bytes of the key that data starts, if its first ones are those of a key: a sequence that starts with a version or a sequence."""
+    if len(data) < 2:
+        return None
+    k = data[1] & 0x7F if data[1] & 0x80 else 0
+    if k > 4 or data[1] == 0x80 or len(data) < 5 + k:
+        return None
+    inner = data[2 + k :]
+    if inner[0] != 0x30 and (inner[:2] != b"\2\1" or inner[2] > 1):
+        return None
+    return 2 + k + (int.from_bytes(data[2 : 2 + k], "big") if k else data[1])
+
+
+def ssh_size(data: bytes) -> int | None:
+    """Bytes of the OpenSSH key that data starts, by its own lengths."""
+    at, left, counted = len(_SSH), 3, False
+    while True:
+        if at + 4 > len(data):
+            return None
+        n = int.from_bytes(data[at : at + 4], "big")
+        at += 4
+        if left:
+            at += n
+            left -= 1
+            if counted and not left:
+                return at if at <= len(data) else None
+        elif counted or not 1 <= n <= 64:
+            return None
+        else:
+            left, counted = n + 1, True
+
+
+def _bytes(digits: str, bits: int) -> bytes | None:
+    return _b64(digits) if bits == 6 else bytes.fromhex(digits[: len(digits) // 2 * 2])
+
+
+def bare_spans(text: str, armoured: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
+    out: list[tuple[str, int, int]] = []
+    for start, digits, digit, bits in STARTS:
+        done = 0
+        for m in start.finditer(text):
+            a = m.start()
+            if a < done or a and text[a - 1].isascii() and (text[a - 1].isalnum() if bits == 6 else digit.match(text, a - 1)) and not _ESCAPE_BEFORE.match(text, max(a - 2, 0)):
+                continue
+            if any(x <= a < y for x, y in armoured):
+                continue
+            ssh = m[0][0] in "b6"
+            head, _ = taken(text, a, digits, None if ssh else 16 * 8 // bits // 4 * 4)
+            if bits == 6:
+                head = head[: len(head) // 4 * 4]
+            size = (ssh_size if ssh else der_size)(_bytes(head, bits) or b"")
+            if not size:
+                continue
+            want = -(-size * 8 // bits)
+            found, z = taken(text, a, digits, want)
+            if len(found) < want or digit.match(text, z):
                 continue
-            if kind := key_kind(decode(m[0])):
-                out.append((kind, m.start(), m.end()))
+            if kind := key_kind(_bytes(found, bits)):
+                done = z + (len(PADDING.match(text, z)[0]) if bits == 6 else 0)
+                out.append((kind, a, done))
     return out
 
 
+def structural_spans(text: str) -> list[tuple[str, int, int]]:
+    out = jwt_spans(text)
+    if "-----BEGIN " in text:
+        out += pem_spans(text)
+    return out + bare_spans(text, [(a, z) for _, a, z in out])
+
+
 def in_order(spans: list) -> list:
     return sorted(spans, key=lambda s: (s[1], ORDER[s[0]], s[2]))
 

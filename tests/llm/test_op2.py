@@ -90,3 +90,48 @@ def test_redaction_leaves_clean_text_and_finds_nothing_again(spark):
 def test_empty_and_repeated(spark):
     assert op.scan(frame(spark, {})).count() == 0
     assert op.scan(frame(spark, [(1, "a"), (1, "a"), (None, None)])).count() == 3
+
+
+def wrapped(s: str, width: int, gap: str = "\n") -> str:
+    return gap.join(s[i : i + width] for i in range(0, len(s), width))
+
+
+def test_keys_in_other_spellings(spark):
+    keys = [pkcs1(2), pkcs8(), ssh()]
+    std, url = (lambda b: base64.b64encode(b).decode()), (lambda b: base64.urlsafe_b64encode(b).decode())
+    armour = lambda body, label="PRIVATE KEY": f"-----BEGIN {label}-----\n{body}\n-----END {label}-----\n"
+    dek = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00112233445566778899AABBCCDDEEFF\n\n"
+    seg = lambda s: base64.urlsafe_b64encode(s.encode()).decode().rstrip("=")
+    tokens = [f"{seg(head)}.{seg(body)}.c2ln" for head in ('{ "alg": "HS256" }', '{\n "alg": "none"}', ' {"alg":"RS256"}') for body in ('{"sub":1}', '{ "sub": 1 }')]
+    want = {}
+    for k, key in enumerate(keys):
+        kind = "ssh" if k == 2 else "der"
+        for n, (text, part, found) in enumerate([
+            (json.dumps({"type": "x", "private_key": armour(wrapped(std(key), 64))}), None, "pem"),
+            (json.dumps(json.dumps({"private_key": armour(wrapped(std(key), 64))})), None, "pem"),
+            (json.dumps({"k": armour(wrapped(std(key), 64))}).replace("/", "\\/"), None, "pem"),
+            (armour("Comment: mine\n\n" + wrapped(std(key), 64)), None, "pem"),
+            (armour(wrapped(url(key), 64)), None, "pem"),
+            ("see\n" + wrapped(std(key), 64) + "\nend of it", wrapped(std(key), 64), kind),
+            ("see " + wrapped(std(key), 76, "\r\n") + "\r\nend", wrapped(std(key), 76, "\r\n"), kind),
+            ("key:\n  " + wrapped(std(key), 76, "\n  ") + "\n  next", wrapped(std(key), 76, "\n  "), kind),
+            (json.dumps("a\n" + wrapped(std(key), 64) + "\nb"), json.dumps(wrapped(std(key), 64))[1:-1], kind),
+            (f"k={url(key)};", url(key), kind),
+            (f"k {url(key).rstrip('=')} k", url(key).rstrip("="), kind),
+            (f"k {wrapped(key.hex(), 64)}\nk", wrapped(key.hex(), 64), kind),
+        ]):
+            want[100 * k + n] = (text, part, found)
+    want[900] = ("x " + armour(dek + wrapped(std(random.Random(3).randbytes(608)), 64), "RSA PRIVATE KEY"), None, "pem")
+    want[901] = (json.dumps(armour(dek + wrapped(std(random.Random(3).randbytes(608)), 64), "RSA PRIVATE KEY")), None, "pem")
+    for n, t in enumerate(tokens):
+        want[910 + n] = (f"x host.name.{t} y", t, "jwt")
+    got = rows(spark, {i: w[0] for i, w in want.items()})
+    for i, (text, part, found) in want.items():
+        spans = [s.split(":") for s in got[i].spans.split(",") if s and s.split(":")[0] in op.KINDS[3:]]
+        assert [s[0] for s in spans] == [found], (i, text[:80])
+        if part:
+            assert text[int(spans[0][1]) : int(spans[0][2])] == part, i
+        else:
+            assert text[int(spans[0][1]) :].startswith("-----BEGIN ") and text[: int(spans[0][2])].endswith(" KEY-----")
+    none = {1: "x " + armour(dek + "Tk9U"), 2: wrapped(std(pkcs1()[:-1] + b""), 64), 3: f"{seg('{ 1')}.{seg('{}')}.x www.example-site.com", 4: "MANY\nMAPS\nMADE " * 50}
+    assert all(not r.spans for r in rows(spark, none).values())
