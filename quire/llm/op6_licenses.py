@@ -1,28 +1,28 @@
 """License scan: MinHash bands over overlapping text windows retrieve templates, exact containment verifies them.
 
 Native throughout: only DataFrame and SQL functions. Words are runs of other than the six ASCII white-space characters with A-Z lower-cased,
-shingles five words. A template of s shingles belongs to the window size W = 2^ceil(log2(2 s)), 8 at least; windows of W
+shingles five words. A template of s shingles belongs to the least window size W of 2, 4, 6, 8, 12, 16, 24, 32 ... that is at least 2 s; windows of W
 shingles start every W/2, so an occurrence lies whole in one of them. Each window has HASHES MinHash values and every one
-is a band of its own; a window that holds 0.8 of a template has a similarity of 0.19 or more to it, so no band agrees with
-a probability under 2e-6. A band can only agree if the window holds the shingle that is the template's
-minimum there, so windows, and before that documents, without any such shingle are passed by before values are computed.
+is a band of its own. W is at most 3 s, so a window that holds 0.8 of a template has a similarity of 0.25 or more to it, and no band agrees
+with a probability of 0.75 ** HASHES, 1e-8, or less. A band can only agree if the window holds the shingle that is the template's
+minimum there, so only windows around such shingles are made, and each is cut out of its text where it is made: work follows text length.
 Candidates are verified by the exact share of the template's distinct shingles in the window.
 
 Result: a row for each document and template found, with the best share (matched of shingles) and the first window, in words, that has it.
 
 Nulls and odd cases: texts that are null, empty or under five words match nothing; repeated rows match each on its own; a
 null doc_id is kept; very long texts are windowed whole; an empty table gives no rows; other columns are not looked at. The
-templates are a parameter; they travel as literals, so at most TEMPLATES of them are taken and more are an error.
+templates are a parameter and are broadcast: more than TEMPLATES of them or SHINGLES shingles in all, or a template under five words, are an error.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WORDS, HASHES, SHARE, TEMPLATES = 5, 64, 80, 500
+from .license_texts import TEXTS
+
+WORDS, HASHES, SHARE, TEMPLATES, SHINGLES = 5, 64, 80, 500, 1 << 20
 
 NOTICES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -35,7 +35,7 @@ NOTICES = {
     "BSD-grant": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
     "ISC-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "MPL-2.0-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
-}
+} | TEXTS
 
 _GAP = "[\\x20\\x09-\\x0D]+"
 
@@ -51,7 +51,10 @@ def template_shingles(text: str) -> list[str]:
 
 
 def window_size(shingles: int) -> int:
-    return max(8, 2 ** math.ceil(math.log2(2 * shingles)))
+    size = 2
+    while size < 2 * shingles:
+        size = size * 4 // 3 if size % 3 == 0 else size * 3 // 2 if size > 2 else 4
+    return size
 
 
 def _let(value: Column, body) -> Column:
@@ -74,41 +77,55 @@ def signature(hashes: Column) -> Column:
     return _let(hashes, lambda win: F.transform(F.sequence(F.lit(0), F.lit(HASHES - 1)), lambda k: F.array_min(F.transform(win, lambda h: F.xxhash64(h, k)))))
 
 
+def _longs(values) -> list[Column]:
+    return [F.lit(v).cast("long") for v in sorted(values)]
+
+
 def find_licenses(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, license, matched, shingles, start_word, n_windows of each document and template found in it."""
-    templates = NOTICES if templates is None else templates
-    if len(templates) > TEMPLATES:
-        raise ValueError(f"more than {TEMPLATES} templates")
+    shingles = {name: template_shingles(text) for name, text in sorted((NOTICES if templates is None else templates).items())}
+    if short := [name for name, s in shingles.items() if not s]:
+        raise ValueError(f"templates of under {WORDS} words: {short}")
+    if len(shingles) > TEMPLATES or sum(map(len, shingles.values())) > SHINGLES:
+        raise ValueError(f"more than {TEMPLATES} templates or {SHINGLES} shingles of them")
     spark = docs.sparkSession
-    rows = [(name, window_size(len(s)), s) for name, text in sorted(templates.items()) if (s := template_shingles(text))]
-    known = spark.createDataFrame([(name, w, [x.split(" ") for x in s]) for name, w, s in rows], "license string, w int, s array<array<string>>")
-    known = known.select("license", "w", F.transform("s", lambda x: F.xxhash64(*(x[j] for j in range(WORDS)))).alias("th"))
+
+    def local(df: DataFrame) -> DataFrame:
+        """The same rows, as values: an expression that a lambda refers to is computed for every element."""
+        return spark.createDataFrame(df.collect(), df.schema)
+
+    known = spark.createDataFrame([(name, window_size(len(s)), [x.split(" ") for x in s]) for name, s in shingles.items()], "license string, w int, s array<array<string>>")
+    known = local(known.select("license", "w", F.transform("s", lambda x: F.xxhash64(*(x[j] for j in range(WORDS)))).alias("th")))
+    known = local(known.withColumn("tsig", signature(F.col("th"))))
+    bands = known.select("license", "w", F.posexplode("tsig").alias("k", "v"))
     # the shingles that are a minimum of some template; a bounded model: at most TEMPLATES * HASHES values
-    minima = known.select("license", "w", "th", F.explode(F.sequence(F.lit(0), F.lit(HASHES - 1))).alias("k"), F.explode("th").alias("h"))
-    bands = minima.groupBy("license", "w", "k").agg(F.min(F.struct(F.xxhash64("h", "k").alias("v"), "h")).alias("m")).select("license", "w", "k", "m.v", "m.h")
+    lowest = F.transform("tsig", lambda v, k: F.get(F.filter("th", lambda h: F.xxhash64(h, k) == v), F.lit(0)))
     least: dict[int, set] = {}
-    for r in bands.select("w", "h").distinct().collect():
+    for r in known.select("w", F.explode(lowest).alias("h")).distinct().collect():
         least.setdefault(r.w, set()).add(r.h)
-
-    def longs(values) -> Column:
-        return F.array(*(F.lit(v).cast("long") for v in sorted(values)))
-
-    every = longs(set().union(*least.values())) if least else F.array().cast("array<long>")
-    # a row number for each row keeps repeated rows and null ids apart; only rows that pass the filter get one
-    hits = docs.select(F.col(id_col).cast("long").alias("doc_id"), shingle_hashes(F.col(text_col)).alias("sh")).where(F.arrays_overlap("sh", every))
-    sizes = F.array(*(F.struct(F.lit(w).alias("w"), longs(hs).alias("hs")) for w, hs in sorted(least.items()))) if least else F.expr("cast(array() as array<struct<w:int,hs:array<bigint>>>)")
-    windows = (
-        hits.withColumn("row", F.monotonically_increasing_id())
-        .select("row", "doc_id", "sh", F.explode(sizes).alias("x"))
-        .select("row", "doc_id", "sh", "x.w", "x.hs", F.explode(F.expr("sequence(0, size(sh) - 1, cast(x.w / 2 as int))")).alias("start"))
-        .select("row", "doc_id", "w", "start", "hs", F.expr("array_distinct(slice(sh, start + 1, w))").alias("win"))
-        .where(F.arrays_overlap("win", "hs"))
-    )
-    signed = windows.select("row", "doc_id", "w", "start", "win", F.posexplode(signature(F.col("win"))).alias("k", "v"))
-    found = signed.join(F.broadcast(bands.drop("h").join(known.select("license", "th"), "license")), ["w", "k", "v"])
-    # bands of a window meet in its own task: no shuffle stands between windows and their verdict
+    every = _longs(set().union(*least.values())) or [F.lit(None).cast("long")]
+
+    def windows_of(sh: Column, at: Column, w: int, hs: set) -> Column:
+        """Windows of w shingles with one of hs, as (w, start, win)."""
+        starts = F.flatten(F.transform(F.filter(at, lambda i: F.get(sh, i).isin(_longs(hs))), lambda i: F.array(i - i % (w // 2), i - i % (w // 2) - w // 2)))
+        starts = F.array_distinct(F.filter(starts, lambda i: i >= 0))
+        return F.transform(starts, lambda i: F.struct(F.lit(w).alias("w"), i.alias("start"), F.array_distinct(F.slice(sh, i + 1, F.lit(w))).alias("win")))
+
+    none = F.expr("cast(array() as array<struct<w:int,start:int,win:array<bigint>>>)")
+
+    def cut(sh: Column) -> Column:
+        found_at = F.when(sh.isNotNull(), F.filter(F.sequence(F.lit(0), F.size(sh) - 1), lambda i: F.get(sh, i).isin(every)))
+        return _let(found_at, lambda at: F.when(F.size(at) > 0, F.concat(none, *(windows_of(sh, at, w, hs) for w, hs in sorted(least.items())))))
+
+    # a row number for each row keeps repeated rows and null ids apart, and filters from being pushed below the windows, which would be cut twice
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), _let(shingle_hashes(F.col(text_col)), cut).alias("windows"))
+    windows = rows.select("row", "doc_id", F.explode("windows").alias("x")).select("row", "doc_id", "x.w", "x.start", "x.win")
+    signed = windows.withColumn("sig", signature(F.col("win"))).select("*", F.posexplode("sig").alias("k", "v"))
+    # bands of a window meet in its own task: no shuffle stands between windows and their verdict; the first band that agrees speaks for all
+    found = signed.join(F.broadcast(bands), ["w", "k", "v"]).join(F.broadcast(known.select("license", "th", "tsig")), "license")
+    found = found.where(F.array_position(F.zip_with("sig", "tsig", lambda x, y: x == y), True) == F.col("k") + 1)
     verified = found.select("row", "doc_id", "license", "start", F.size(F.array_intersect("win", "th")).alias("matched"), F.size("th").alias("shingles")).where(f"matched * 100 >= {SHARE} * shingles")
-    best = verified.groupBy("row", "doc_id", "license", "shingles").agg(F.max(F.struct("matched", (-F.col("start")).alias("first"))).alias("m"), F.count_distinct("start").alias("n_windows"))
+    best = verified.groupBy("row", "doc_id", "license", "shingles").agg(F.max(F.struct("matched", (-F.col("start")).alias("first"))).alias("m"), F.count("*").alias("n_windows"))
     return best.select("doc_id", "license", F.col("m.matched").cast("long").alias("matched"), F.col("shingles").cast("long").alias("shingles"), (-F.col("m.first")).cast("long").alias("start_word"), F.col("n_windows").cast("long").alias("n_windows"))
 
 

@@ -5,7 +5,9 @@ import random
 import re
 
 import numpy as np
+import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 from quire.llm import op6_licenses as lic
 from quire.llm import op7_pieces as sp
 from quire.llm.catalogue import tokenizer
@@ -53,6 +55,18 @@ def test_licenses_odd_tables(spark):
     assert lic.find_licenses(frame(spark, {1: "Released under the MIT License."}), {}).count() == 0
 
 
+def test_no_short_notice_is_lost(spark):
+    docs = spark.range(60_000, numPartitions=8).select(F.col("id").alias("doc_id"), F.concat(F.lit("Released under the MIT License."), *(F.concat(F.lit(" w"), F.pmod(F.xxhash64("id", F.lit(j)), F.lit(10_000_019))) for j in range(7))).alias("text"))
+    got = lic.find_licenses(docs).groupBy("license", "matched", "shingles", "start_word").agg(F.count_distinct("doc_id").alias("n")).collect()
+    assert [tuple(r) for r in got] == [("MIT", 1, 1, 0, 60_000)]
+
+
+def test_templates_out_of_bounds(spark):
+    for bad in ({"short": "only four words here"}, {str(i): "one two three four five" for i in range(lic.TEMPLATES + 1)}):
+        with pytest.raises(ValueError, match="templates"):
+            lic.find_licenses(frame(spark, {1: "a"}), bad)
+
+
 def test_license_plan_is_native(spark, capsys):
     lic.find_licenses(frame(spark, {1: "a"})).explain()  # not "formatted": that also names the call that made the fixture's rows
     plan = capsys.readouterr().out
