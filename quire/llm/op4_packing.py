@@ -1,16 +1,18 @@
 """Best-fit packing of tokenised documents by hierarchical residual packing.
 
-Every partition packs its pieces best-fit decreasing into sequences. Nearly full sequences are final; the underfull ones
-are the residue, and are items themselves for the next round: a tree merges the residues of FAN partitions at a time and
-packs them best-fit again, until one node is left. A node hands on at most RESIDUE sequences, its emptiest, and closes
-the fuller ones, so that no task holds more than FAN * RESIDUE of them whatever the input. Pieces never move between
-partitions: a round emits (sequence, merged sequence, shift), and pieces take those up by equi-joins at the end.
+Every partition packs its pieces best-fit decreasing, a run of RUN_PIECES at a time. Sequences within NEAR tokens of full are final. The rest is the
+residue: its underfull sequences are taken apart again, so that each is one piece, and go up as items of the next round. Pieces of one length are
+interchangeable, so what goes up a tree of partial sums is how many items of each length there are; its root holds at most
+one count a length, whatever the input, and packs all residues together, best-fit decreasing again, some thousand equal items at a time.
+Which items of a length go to which sequences is a few ranges of their numbers, and an item's number is its place among those of
+its length in its partition, plus a prefix sum over the partitions before. So nothing is closed early to keep a node small, and
+no sequence is short of global best-fit by more than the NEAR tokens of the final ones.
 
 Only documents longer than a sequence are cut; the first piece is then the shorter one, so that all others are full.
 
 Nulls and odd cases: a null or empty text is its end token alone; a null doc_id is kept; repeated rows are packed each; an
-empty table gives no rows; texts of any length are tokenised whole; special-token strings in a text are ordinary text;
-other columns are not looked at.
+empty table gives no rows; texts of any length are tokenised whole; special-token strings in a text are what tokenizers makes of them
+by default, the special token; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -19,46 +21,46 @@ import json
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import stage
 
-CAPACITY, END, FAN, RESIDUE, NEAR = 1024, 2, 8, 2048, 4
+CAPACITY, END, NEAR = 1024, 2, 4
 #: A run of a partition that is packed as one node.
 RUN_PIECES, RUN_TOKENS = 1 << 16, 1 << 24
+#: An item of the root is length << NUMBER | its number among those of its length.
+NUMBER = 44
 _encoders: dict = {}
 
 
 def encoder(path: str):
-    """A function from a text to the ids of the byte-level BPE in the tokenizers file at path, without special tokens.
+    """A function from a text to the ids of the tokenizers file at path, as encode(text, add_special_tokens=False) gives them.
 
-    The same ranks and pattern run in tiktoken, which is several times as fast; texts beyond its comfort, and files that are
-    not of this kind, go to tokenizers itself. A test holds the two against each other.
+    The same ranks and pattern run in tiktoken, which is several times as fast; texts beyond its comfort or with the string of a special token, and
+    files that are not a byte-level BPE, go to tokenizers itself. A test holds the two against each other.
     """
     if path not in _encoders:
         import tiktoken
         from tokenizers import Tokenizer
 
         slow = Tokenizer.from_file(path)
-        slow.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         fast = None
         pre = spec.get("pre_tokenizer") or {}
+        special = {t["content"] for t in spec.get("added_tokens", [])}
         if spec["model"].get("type", "BPE") == "BPE" and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and not spec.get("normalizer"):
             kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
             shown = {chr(b): b for b in kept} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in kept)}
-            special = {t["content"] for t in spec.get("added_tokens", [])}
             ranks = {bytes(shown[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
             pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
             fast = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
         def encode(text: str) -> list[int]:
-            if fast is None or len(text) > 1_000_000:
+            if fast is None or len(text) > 1_000_000 or any(t in text for t in special):
                 return slow.encode(text, add_special_tokens=False).ids
             return fast.encode_ordinary(text)
 
@@ -92,23 +94,61 @@ def best_fit(sizes: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, n
     return where, offset, np.array(fills, dtype=np.int64)
 
 
-def still_open(fills: np.ndarray, capacity: int, near: int, residue: int) -> np.ndarray:
-    """The underfull bins: short of full by more than near, and the emptiest residue of them."""
-    low = np.flatnonzero(fills < capacity - near)
-    out = np.zeros(len(fills), dtype=bool)
-    out[low[np.argsort(fills[low], kind="stable")[:residue]]] = True
+def best_fit_counts(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
+    """best_fit for counts[size] items of each size: (size, number of the first item, first bin, items a bin, offset) of stretches of items.
+
+    Equal items fill bins of equal room alike, so a step places as many as there are such bins; steps follow distinct sizes and rooms.
+    """
+    out, bins = [], 0
+    room: list[list[tuple[int, int]]] = [[] for _ in range(capacity + 1)]  # stretches (first, number) of bins with so much room
+    mask = 0
+
+    def put(left: int, first: int, n: int) -> None:
+        nonlocal mask
+        if n and left:
+            room[left].append((first, n))
+            mask |= 1 << left
+
+    for size in sorted(counts, reverse=True):
+        number, todo = 0, counts[size]
+        while todo:
+            fit = mask >> size
+            if fit:
+                left = size + (fit & -fit).bit_length() - 1
+                first, n = room[left].pop()
+                if not room[left]:
+                    mask ^= 1 << left
+            else:
+                left, first, n = capacity, bins, -(-todo // (capacity // size))
+                bins += n
+            each = left // size
+            whole = min(n, todo // each)
+            if whole:
+                out.append((size, number, first, each, capacity - left))
+                put(left - each * size, first, whole)
+                number, todo = number + whole * each, todo - whole * each
+            if whole < n and todo:  # fewer than one bin takes
+                out.append((size, number, first + whole, todo, capacity - left))
+                put(left - todo * size, first + whole, 1)
+                whole, todo = whole + 1, 0
+            put(left, first + whole, n - whole)
     return out
 
 
 def _local(path: str, capacity: int, end: int, with_ids: bool):
-    def flush(part, run, ids, pieces, starts, sizes, tokens):
+    def flush(part, run, seen, ids, pieces, starts, sizes, tokens):
         sizes = np.array(sizes, dtype=np.int64)
         where, offset, fills = best_fit(sizes, capacity)
-        live = still_open(fills, capacity, NEAR, RESIDUE)
+        live = fills[where] < capacity - NEAR
+        order = np.argsort(sizes[live], kind="stable")
+        n = sizes[live][order]
+        number = np.zeros(len(sizes), dtype=np.int64)
+        number[np.flatnonzero(live)[order]] = seen[n] + np.arange(len(n)) - np.searchsorted(n, n)
+        seen += np.bincount(n, minlength=len(seen))
         crc = np.array([zlib.crc32(t) for t in tokens], dtype=np.int64)
         key = (np.int64(part) << 36) + (np.int64(run) << 20) + where
-        cols = [pa.array(ids, pa.int64()), pa.array(pieces, pa.int32()), pa.array(starts, pa.int64()), pa.array(sizes), pa.array(crc), pa.array(key), pa.array(offset), pa.array(fills[where]), pa.array(live[where])]
-        names = ["doc_id", "piece", "start", "length", "ids_crc32", "bin", "offset", "fill", "open"]
+        cols = [pa.array(ids, pa.int64()), pa.array(pieces, pa.int32()), pa.array(starts, pa.int64()), pa.array(sizes), pa.array(crc), pa.array(key), pa.array(offset), pa.array(live), pa.array(np.full(len(sizes), part)), pa.array(number)]
+        names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "open", "part", "number"]
         if with_ids:
             ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
             cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(tokens), dtype="<u4").astype(np.int32))))
@@ -118,6 +158,7 @@ def _local(path: str, capacity: int, end: int, with_ids: bool):
 
     def run(batches):
         encode, part, n = encoder(path), TaskContext.get().partitionId(), 0
+        seen = np.zeros(capacity + 1, dtype=np.int64)
         held: tuple[list, ...] = ([], [], [], [], [])
         total = 0
         for b in batches:
@@ -129,47 +170,42 @@ def _local(path: str, capacity: int, end: int, with_ids: bool):
                         to.append(x)
                 total += len(t)
                 if len(held[0]) >= RUN_PIECES or total >= RUN_TOKENS:
-                    yield from flush(part, n, *held)
+                    yield from flush(part, n, seen, *held)
                     held, total, n = ([], [], [], [], []), 0, n + 1
         if held[0]:
-            yield from flush(part, n, *held)
+            yield from flush(part, n, seen, *held)
 
     return run
 
 
-def _merge(capacity: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("bin", ignore_index=True)
-        where, offset, fills = best_fit(pdf["fill"].to_numpy(), capacity)
-        live = still_open(fills, capacity, NEAR, RESIDUE)
-        low = pdf["bin"].groupby(where).min().to_numpy()  # a merged sequence takes the smallest id of its parts
-        return pd.DataFrame({"bin": pdf["bin"], "into": low[where], "shift": offset, "fill": fills[where], "open": live[where]})
+def _placer(stretches: list[tuple[int, int, int, int, int]]):
+    size, number, first, each, offset = np.array(sorted(stretches), dtype=np.int64).reshape(-1, 5).T
+    start = size << NUMBER | number
+
+    def run(batches):
+        for b in batches:
+            names = b.schema.names
+            length, item = (b.column(names.index(c)).to_numpy() for c in ("length", "item"))
+            k = np.searchsorted(start, length << NUMBER | item, side="right") - 1
+            at = item - number[k]
+            own = {"sequence_id": pa.array(-1 - (first[k] + at // each[k])), "offset": pa.array(offset[k] + at % each[k] * length)}
+            yield pa.RecordBatch.from_arrays([own[c] if c in own else b.column(i) for i, c in enumerate(names) if c != "item"], [c for c in names if c != "item"])
 
     return run
 
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end: int = END, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, and ids if asked for."""
+    """A row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, and ids if asked for. Sequences of the root have negative numbers."""
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, offset long, fill long, open boolean"
-    rows = stage(src.mapInArrow(_local(tokenizer_path, capacity, end, with_ids), schema + ", ids array<int>" * with_ids), "pieces")
-    residue = rows.where("open").select("bin", "fill").distinct()
-    parts = (rows.agg(F.max(F.shiftright("bin", 36))).first()[0] or 0) + 1
-    moved = None
-    span = FAN
-    while True:
-        level = stage(
-            residue.groupBy(F.expr(f"shiftright(bin, 36) div {span}").alias("node")).applyInPandas(_merge(capacity), "bin long, into long, shift long, fill long, open boolean"),
-            "merged",
-        )
-        step = level.select(F.col("bin").alias("into"), F.col("into").alias("next"), F.col("shift").alias("by"))
-        if moved is None:
-            moved = level.select("bin", "into", "shift")
-        else:
-            moved = moved.join(step, "into", "left").select("bin", F.coalesce("next", "into").alias("into"), (F.col("shift") + F.coalesce("by", F.lit(0))).alias("shift"))
-        residue = level.where("open").select(F.col("into").alias("bin"), "fill").distinct()
-        if span >= parts:
-            break
-        span *= FAN
-    out = rows.join(stage(moved, "moved"), "bin", "left")
-    return out.select("doc_id", "piece", "start", "length", "ids_crc32", F.coalesce("into", "bin").alias("sequence_id"), (F.col("offset") + F.coalesce("shift", F.lit(0))).alias("offset"), *["ids"] * with_ids)
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *["ids"] * with_ids]
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, open boolean, part long, number long" + ", ids array<int>" * with_ids
+    rows = stage(src.mapInArrow(_local(tokenizer_path, capacity, end, with_ids), schema), "pieces")
+    residue = rows.where("open")
+    counts = stage(residue.groupBy("part", "length").agg(F.count("*").alias("n")), "counts")
+    # at most one row a length
+    total = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    before = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    numbered = residue.join(counts.select("part", "length", F.coalesce(before, F.lit(0)).alias("base")), ["part", "length"])
+    items = numbered.select(*names, (F.col("base") + F.col("number")).alias("item"))
+    out = rows.where("not open").select(names)
+    return out.unionByName(items.mapInArrow(_placer(best_fit_counts(total, capacity)), rows.select(names).schema))

@@ -25,9 +25,7 @@ def ids(tok, t) -> list[int]:
 def reference():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
 def test_pieces_and_sequences(spark):
@@ -71,9 +69,46 @@ def test_many_parts_merge_as_a_tree(spark):
     assert len({r.sequence_id for r in got}) <= -(-sum(r.length for r in got) // 1024) + 1
 
 
-def test_large_residue_is_bounded():
-    fills = np.full(5000, 600)
-    assert op.still_open(fills, 1024, op.NEAR, op.RESIDUE).sum() == op.RESIDUE
+def test_special_token_strings_are_as_tokenizers_has_them(spark):
+    text = "hello <|endoftext|> world"
+    (row,) = op.pack(frame(spark, {1: text}), PATH, with_ids=True).collect()
+    assert row.ids == [*reference().encode(text, add_special_tokens=False).ids, 2] and 50256 in row.ids
+
+
+def test_counts_pack_as_items_do():
+    rnd = np.random.default_rng(5)
+    for top, n in ((1024, 3000), (300, 500), (40, 2000), (1024, 1), (600, 700)):
+        sizes = rnd.integers(1, top + 1, n)
+        _, _, fills = op.best_fit(sizes)
+        values, many = np.unique(sizes, return_counts=True)
+        stretches = op.best_fit_counts(dict(zip(values.tolist(), many.tolist(), strict=True)))
+        bins: dict = {}
+        for size, number, first, each, offset in stretches:
+            following = [t[1] for t in stretches if t[0] == size and t[1] > number]
+            for k in range(min(following, default=int(many[values == size][0])) - number):
+                bins.setdefault(first + k // each, []).append((offset + k % each * size, size))
+        assert sum(map(len, bins.values())) == n
+        assert len(bins) == len(fills)
+        for held in bins.values():
+            at = 0
+            for offset, size in sorted(held):
+                assert offset == at
+                at += size
+            assert at <= 1024
+    # a billion items take no more steps than ten
+    assert len(op.best_fit_counts({600: 10**9, 400: 10**9, 10: 10**9})) < 20
+
+
+def test_many_parts_are_within_a_hundredth_of_global_best_fit(spark):
+    rnd = random.Random(9)
+    ts = {i: "word " * min(1500, int(rnd.lognormvariate(5, 1))) for i in range(3000)}
+    got = op.pack(frame(spark, ts, parts=32), PATH).collect()
+    _, _, fills = op.best_fit(np.array([r.length for r in got]))
+    assert len({r.sequence_id for r in got}) <= len(fills) * 1.01
+    # lengths that go together are in different partitions
+    apart = {i: "word " * (598 if i < 500 else 422) for i in range(1000)}
+    got = op.pack(frame(spark, apart, parts=1).repartitionByRange(16, "doc_id"), PATH).collect()
+    assert len({r.sequence_id for r in got}) == 500
 
 
 def test_odd_rows(spark):
