@@ -27,12 +27,14 @@ _powers: dict[str, np.ndarray] = {}
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; one of our own only where it is unset, as in tests."""
+    """The shared folder that the cluster names in spark.checkpoint.dir. Where it is unset, one of our own on this machine, if all executors are in this process."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         at = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = at.get() if at.isDefined() else None
     if not base:
+        if not spark.sparkContext._jsc.sc().isLocal():
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="quire-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -101,19 +103,32 @@ def _label(batches):
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in roots(*(np.concatenate([e[i] for e in edges]) for i in (0, 1)))], ["id", "component"])
 
 
+def _rooted(hook: DataFrame) -> DataFrame:
+    """hook(u, to) with every to at the end of its way: pointers are doubled until none moves."""
+    while True:
+        further = hook.select(F.col("u").alias("to"), F.col("to").alias("next"))
+        doubled = hook.join(further, "to").select("u", F.col("next").alias("to"), (F.col("next") != F.col("to")).alias("moved"))
+        hook = stage(doubled, "hooks")
+        if hook.where("moved").isEmpty():
+            return hook.select("u", "to")
+
+
 def components(edges: DataFrame, bound: int = EDGES) -> DataFrame:
     """(id, component) of each node of edges(a, b): component is the smallest id reachable.
 
     Every partition first contracts its edges to stars. While more than bound edges are left, a round of hooking contracts
-    the graph across partitions: each node takes the smallest node next to it for its label, which halves the nodes
-    of a component at least, by a partial aggregate and two equi-joins. What is left, at most bound edges, is labelled by
-    one task, and the rounds are undone by a join each. Rounds are staged; nothing but a count comes to the driver.
+    the graph across partitions: each node hooks to the smallest node next to it, if that is smaller, hooks are followed to their roots
+    by doubling, and roots stand for their trees. Two rounds halve the nodes of a component at least: roots have no
+    roots next to them, so either at most half of the nodes are roots, or fewer than half are not; and a root that stays one in the
+    second round has all nodes next to it in its own tree, so that there are at most as many as there were other nodes. Rounds are equi-joins and partial aggregates.
+    What is left, at most bound edges, is labelled by one task, and the rounds are undone by a join each. Rounds are staged;
+    nothing but a count comes to the driver.
     """
     now = stage(edges.where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v")).mapInArrow(_contract, "u long, v long"), "stars")
     rounds = []
     while now.count() > bound:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        hook = stage(both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("to")), "hooks")
+        hook = _rooted(stage(both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("to")), "hooks"))
         rounds.append(hook)
         moved = now.join(hook.withColumnRenamed("to", "a"), "u").join(hook.select(F.col("u").alias("v"), F.col("to").alias("b")), "v").where("a <> b")
         moved = moved.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()

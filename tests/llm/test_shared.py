@@ -29,6 +29,43 @@ def test_components(spark, bound):
     assert got == closed(nodes, linked)
 
 
+def test_a_long_ordered_chain_takes_few_rounds(spark, monkeypatch):
+    names, n = [], 6000
+    keep = shared.stage
+    monkeypatch.setattr(shared, "stage", lambda df, name, *more: names.append(name) or keep(df, name, *more))
+    edges = spark.range(n, numPartitions=8).selectExpr("id a", "id + 1 b").repartition(8)
+    got = shared.components(edges, 100)
+    assert got.where("component <> 0").isEmpty() and got.count() == n + 1
+    assert names.count("stars") <= 3
+
+
+def test_no_machine_local_folder_on_a_cluster():
+    class Cluster:
+        class sparkContext:
+            class _jsc:
+                @staticmethod
+                def sc():
+                    return Cluster
+
+        class conf:
+            @staticmethod
+            def get(*_):
+                return None
+
+        @staticmethod
+        def getCheckpointDir():
+            return Cluster
+
+        @staticmethod
+        def isDefined():
+            return False
+
+        isLocal = isDefined
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared.work_dir(Cluster)
+
+
 def test_no_edges(spark):
     assert shared.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
