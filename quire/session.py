@@ -27,10 +27,12 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def checkpointed(spark: SparkSession) -> SparkSession:
-    """Have a folder for checkpoint(): the shared one of spark.checkpoint.dir, one of our own only where none is set, as in tests."""
+    """Have a folder for checkpoint(): the shared one of spark.checkpoint.dir. Where none is set, one of our own, if all executors are in this process."""
     jsc = spark.sparkContext._jsc.sc()
     if not jsc.getCheckpointDir().isDefined():
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not jsc.isLocal():
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="quire-"))
     return spark
 
