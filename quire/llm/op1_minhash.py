@@ -2,8 +2,8 @@
 
 A document's set is its distinct word shingles. Its MinHash signature has COORDINATES values, and the document is posted
 under each (coordinate, value) pair. Two documents whose sets have Jaccard similarity s share Binomial(COORDINATES, s)
-postings; pairs with at least MATCH shared postings are candidates, which loses a pair at 0.8 with probability under
-2e-6, and every candidate is confirmed on the full sets.
+postings; pairs with at least MATCH shared postings are candidates, MATCH the most that loses a pair at the threshold with probability
+LOSS at most (35 for a threshold of 0.8), and every candidate is confirmed on the full sets.
 
 Counting skips what cannot reach MATCH. A posting that only one text has is no collision: a text with c shared postings
 needs MATCH of those c, so texts with c < MATCH are skipped whole, and by the prefix principle two texts that share MATCH
@@ -18,7 +18,7 @@ likeliest hub of another component, and components are joined up. Where a cluste
 texts outside its largest one, usually few, are compared exactly to the largest one's and to each other in tasks of at
 most two chunks of CHUNK texts, which find intersections by an inverted index and hand on spanning links only. What is
 likely across clusters is made as pairs and confirmed. So every link between different components is tried, no task holds a
-whole group, and a group's pairs are never rows. Exact copies of a set are one class from the start.
+whole group, a key with many texts is dealt in chunks whose pairs are tasks of their own, and a group's pairs are never rows. Exact copies of a set are one class from the start.
 
 Nulls and odd cases: a text that is null, empty or white space has an empty set and links with nothing; a row without id
 links with nothing, has a null component_id and is kept; rows that repeat an id and a text get the same answer; ids that
@@ -28,6 +28,7 @@ repeat with different texts are judged by each row's own text. Other columns are
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pandas as pd
@@ -37,12 +38,20 @@ from pyspark.sql import functions as F
 
 from .shared import components, shingle_sets, slices, stage
 
-COORDINATES, MATCH, ROUNDS, CHUNK = 64, 35, 2, 512
+COORDINATES, LOSS, ROUNDS, CHUNK = 64, 2e-6, 2, 512
 _rng = np.random.default_rng(7)
 _A = _rng.integers(1, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(1, 2**63, COORDINATES, dtype=np.uint64)
 
 
+def match_of(percent: int) -> int:
+    """Most shared postings to ask for, so that a pair at the threshold falls short of them with probability LOSS at most; 1 at least."""
+    s, below, m = percent / 100, 0.0, 0
+    while m < COORDINATES and (below := below + math.comb(COORDINATES, m) * s**m * (1 - s) ** (COORDINATES - m)) <= LOSS:
+        m += 1
+    return max(1, m)
+
+
 def signature(s: np.ndarray) -> np.ndarray:
     """COORDINATES 32-bit minima of a non-empty set."""
     low = np.full(COORDINATES, 0xFFFFFFFF, dtype=np.uint64)
@@ -85,14 +94,18 @@ def _signer(k: int):
     return sign
 
 
-def _count(batches):
-    """Pairs whose signatures agree in MATCH places."""
-    for b in batches:
-        n = b.num_rows
-        x, y = (b.column(i).flatten().to_numpy().reshape(n, COORDINATES) for i in (2, 3))
-        same = (x == y).sum(axis=1)
-        ok = same >= MATCH
-        yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok)), b.column(1).filter(pa.array(ok)), pa.array(same[ok].astype(np.int32))], ["a", "b", "same"])
+def _counter(match: int):
+    """Pairs whose signatures agree in match places."""
+
+    def count(batches):
+        for b in batches:
+            n = b.num_rows
+            x, y = (b.column(i).flatten().to_numpy().reshape(n, COORDINATES) for i in (2, 3))
+            same = (x == y).sum(axis=1)
+            ok = same >= match
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok)), b.column(1).filter(pa.array(ok)), pa.array(same[ok].astype(np.int32))], ["a", "b", "same"])
+
+    return count
 
 
 def _confirmer(k: int, percent: int):
@@ -104,7 +117,9 @@ def _confirmer(k: int, percent: int):
                 if len(seen) > 512:
                     seen.clear()
                 s = shingle_sets([text], k)[0]
-                seen[i, d] = s if digest(s)[0] == d else None  # another text under the same id
+                if digest(s)[0] != d:  # another text under the same id; the right one comes too
+                    return None
+                seen[i, d] = s
             return seen[i, d]
 
         for b in batches:
@@ -170,6 +185,7 @@ def _solver(k: int, percent: int):
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row of docs; see the module for the method and odd cases."""
+    match = match_of(percent)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = stage(src.mapInArrow(_signer(shingle_words), "doc_id long, n_shingles long, d1 long, d2 long, low long, high long, sig array<int>"), "signed")
     firsts = [F.first(c).alias(c) for c in ("low", "high", "sig")]
@@ -180,8 +196,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
 
     posted = classes.select("rep", F.posexplode("sig").alias("p", "v")).select("rep", F.expr("shiftleft(cast(p as long), 32) | (cast(v as long) & 4294967295L)").alias("key"))
     shared = posted.groupBy("key").agg(F.count("*").alias("f")).where("f > 1")
-    posts = posted.join(shared, "key").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("f", "key"))).alias("posts")).where(F.size("posts") >= MATCH)
-    posts = stage(posts.select("rep", F.expr(f"transform(slice(posts, 1, size(posts) - {MATCH - 1}), x -> x.key)").alias("keys")), "posts")
+    posts = posted.join(shared, "key").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("f", "key"))).alias("posts")).where(F.size("posts") >= match)
+    posts = stage(posts.select("rep", F.expr(f"transform(slice(posts, 1, size(posts) - {match - 1}), x -> x.key)").alias("keys")), "posts")
     sigs = stage(classes.drop("d2").join(posts, "rep"), "sigs")
     prefixes = sigs.select("rep", "n", "low", "high", F.explode("keys").alias("key"))
 
@@ -191,11 +207,11 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     def counted(pairs: DataFrame) -> DataFrame:
         a = renamed(sigs, rep="a", sig="sa")
         b = renamed(sigs, rep="b", sig="sb")
-        return pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(_count, "a long, b long, same int")
+        return pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(_counter(match), "a long, b long, same int")
 
     # likely pairs of a text and a hub of one of its postings; what they connect is a cluster
     agree = "bit_count(~((low ^ low2) | (high ^ high2)))"
-    likely = f"least(n, n2) * 100 >= greatest(n, n2) * {percent} and {agree} >= {MATCH}"
+    likely = f"least(n, n2) * 100 >= greatest(n, n2) * {percent} and {agree} >= {match}"
     hub = (F.min_by(F.struct("rep", "n", "low", "high"), F.xxhash64("rep", "key", F.lit(r))) for r in range(ROUNDS))
     hubs = prefixes.groupBy("key").agg(F.array_distinct(F.array(*hub)).alias("hs"), F.count("*").alias("c")).where("c > 1").select("key", F.explode("hs").alias("h"))
     hubs = hubs.select("key", F.col("h.rep").alias("b"), *(F.col(f"h.{c}").alias(c + "2") for c in ("n", "low", "high")))
@@ -205,10 +221,13 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
 
     # what is likely across clusters
     placed = prefixes.join(clusters, "rep", "left").withColumn("cluster", F.coalesce("cluster", "rep"))
-    spread = placed.groupBy("key").agg(F.min("cluster").alias("least"), F.max("cluster").alias("most")).where("least < most").select("key")
-    placed = stage(placed.join(spread, "key"), "placed")
-    other = placed.select("key", F.col("rep").alias("b"), *(F.col(c).alias(c + "2") for c in ("n", "low", "high", "cluster")))
-    across = placed.join(other, "key").where(f"rep < b and cluster <> cluster2 and {likely}").select(F.col("rep").alias("a"), "b").distinct()
+    spread = placed.groupBy("key").agg(F.min("cluster").alias("least"), F.max("cluster").alias("most"), F.ceil(F.count("*") / (2 * CHUNK)).alias("chunks")).where("least < most").select("key", "chunks")
+    placed = stage(placed.join(spread, "key").withColumn("chunk", F.expr("pmod(xxhash64(rep, 2), chunks)")), "placed")
+    # a key of many texts meets itself chunk by chunk
+    here = placed.withColumn("i", F.col("chunk")).withColumn("j", F.explode(F.expr("sequence(chunk, chunks - 1)")))
+    other = placed.select("key", F.explode(F.expr("sequence(0L, chunk)")).alias("i"), F.col("chunk").alias("j"), F.col("rep").alias("b"), *(F.col(c).alias(c + "2") for c in ("n", "low", "high", "cluster")))
+    across = here.join(other, ["key", "i", "j"]).where(f"(i < j or rep < b) and cluster <> cluster2 and {likely}")
+    across = across.select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct()
     across = stage(counted(across), "across")
 
     # only texts that are in a likely pair are moved, and each once

@@ -42,4 +42,24 @@ def test_signature_agreement_follows_similarity():
     y = np.unique(np.concatenate((x[:889], rnd.integers(0, 2**63, 111, dtype=np.uint64))))  # similarity 0.8
     same = [(op.signature(x ^ np.uint64(s)) == op.signature(y ^ np.uint64(s))).mean() for s in range(200)]
     assert 0.75 < np.mean(same) < 0.85
-    assert min(same) * op.COORDINATES >= op.MATCH
+    assert min(same) * op.COORDINATES >= op.match_of(80)
+
+
+def test_match_follows_the_threshold(spark):
+    assert op.match_of(80) == 35 and op.match_of(100) == op.COORDINATES
+    texts = near_texts(5)
+    assert found(op.near_duplicates(frame(spark, texts), shingle_words=2, percent=60)) == brute(texts, 2, 60)
+
+
+def test_ids_that_repeat_with_other_texts(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    near = base.replace("w30", "other")
+    rows = [(1, base), (1, "something else of its own altogether"), (2, near), (2, "and again another text under two"), (3, near.replace("w50", "more"))]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in op.near_duplicates(frame(spark, rows), shingle_words=2).collect())
+    assert {c for i, n, c in got if n > 40} == {1}
+
+
+def test_a_key_of_many_texts_is_dealt(spark, monkeypatch):
+    monkeypatch.setattr(op, "CHUNK", 4)
+    texts = near_texts(6)
+    assert found(op.near_duplicates(frame(spark, texts), shingle_words=2)) == brute(texts, 2, 80)
