@@ -4,7 +4,7 @@ Law `key`: doc_id and the number of shards alone decide, and with one more shard
 The hash is the published 64-bit linear congruential jump; the key is doc_id itself.
 
 slot numbers the rows of a shard from 0 without gaps, by doc_id (then crc, size). No shard is gathered to number it: rows
-are range-partitioned once as narrow records, each partition counts its rows of each shard as it goes, and the counts of
+are range-partitioned once as narrow records, equal ones split by a row number, each partition counts its rows of each shard as it goes, and the counts of
 the partitions before it are added by a small join.
 
 Nulls and odd cases: a null text has size 8 and the crc of no bytes, 0; a row with a null doc_id has the key 0; repeated
@@ -55,10 +55,10 @@ def _number(shards: int):
 def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of each row of docs."""
     text = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
-    narrow = stage(docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text).alias("text_crc32")), "narrow")
-    by = ["doc_id", "text_crc32", "size"]
+    narrow = stage(docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.monotonically_increasing_id().alias("row")), "narrow")
+    by = ["doc_id", "text_crc32", "size", "row"]
     ranged = narrow.repartitionByRange(*by).sortWithinPartitions(*by)
-    rows = stage(ranged.mapInArrow(_number(shards), "doc_id long, size long, text_crc32 long, shard int, seq long, grown_shard int, part int"), "numbered")
+    rows = stage(ranged.drop("row").mapInArrow(_number(shards), "doc_id long, size long, text_crc32 long, shard int, seq long, grown_shard int, part int"), "numbered")
     counts = rows.groupBy("part", "shard").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = counts.select("part", "shard", before.alias("base"))  # a row for each partition and shard, not for each document
