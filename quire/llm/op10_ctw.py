@@ -26,13 +26,14 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .op9_language import fold
 from .shared import mix, slices, stage, words
 
-DEPTH, BLOCK, BLOB = 4, 16 << 20, 1 << 20
+#: PER_TASK is how many blocks a task of the scan streams, about.
+DEPTH, BLOCK, PER_TASK = 4, 16 << 20, 8
 END = 0xFF
 END_TOKEN = -0x5D1AD0F4E3A1B2C7
 
@@ -264,21 +265,24 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, depth: int = DEPTH, id
 
     score is the log10 probability of the text and its end; bits_per_byte the code length it gives to each of those bytes.
     """
+    spark = docs.sparkSession
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), (fold(id_col, folds) == held).alias("held_out"), F.col(text_col).alias("text"))
     blobs = stage(src.mapInArrow(_packer, "block long, blob binary"), "blocks")
     asked = stage(blobs.mapInArrow(_asker(depth), "block long, kind int, key long, n long"), "asked")
     grams = asked.where("kind = 0").drop("kind")
     tokens = asked.where("kind = 1").drop("kind")
     probability = stage(model(stage(grams.groupBy("key").agg(F.sum("n").alias("n")), "grams"), depth), "probability")
-    # a token's rows are one for each block that has it
-    by_key = Window.partitionBy("key")
-    counted = stage(tokens.select("block", "key", F.sum("n").over(by_key).alias("c"), F.row_number().over(by_key.orderBy("block")).alias("r")).select("block", "key", "c", (F.col("r") == 1).alias("first")), "counted")
-    n_train, n_kinds = counted.where("first and c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    # a token's rows are one for each block that has it, so its count is joined to them: a join splits a frequent token, a window would not
+    totals = stage(tokens.groupBy("key").agg(F.sum("n").alias("c")).where("c > 0"), "totals")
+    n_train, n_kinds = totals.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    counted = tokens.select("block", "key").join(totals, "key")
     none = F.lit(None).cast("binary").alias("blob")
     rows = (
         grams.join(probability, "key").select("block", F.lit(0).alias("kind"), "key", F.col("lp").alias("value"), none)
-        .unionByName(counted.where("c > 0").select("block", F.lit(1).alias("kind"), "key", F.col("c").cast("double").alias("value"), none))
+        .unionByName(counted.select("block", F.lit(1).alias("kind"), "key", F.col("c").cast("double").alias("value"), none))
         .unionByName(blobs.select("block", F.lit(2).alias("kind"), F.lit(0).cast("long").alias("key"), F.lit(0.0).alias("value"), "blob"))
     )
-    streams = rows.repartition(F.col("block")).sortWithinPartitions("block", "kind")
+    # a task streams one block after the other; blocks follow the input, so tasks do
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-blobs.select("block").distinct().count() // PER_TASK))
+    streams = rows.repartition(tasks, F.col("block")).sortWithinPartitions("block", "kind")
     return streams.mapInArrow(_scorer(depth, n_train, n_kinds), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
