@@ -20,10 +20,16 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose five-word shingle sets are 0.8 similar or more; rows that repeat an id are one document."""
-    kept = op1_minhash.near_duplicates(docs, shingle_words=5, percent=80).where("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id", "text"])
-    return named.unionByName(docs.where("doc_id is null"))
+    """One row of each group whose five-word shingle sets are 0.8 similar or more: that of the smallest doc_id, of several the first one.
+
+    Rows are told apart by a number of their own, so that texts under one doc_id, and rows without any, are judged each by itself.
+    """
+    row = next(name for i in range(len(docs.columns) + 1) if (name := f"row_{i}") not in docs.columns)
+    rows = stage(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    groups = op1_minhash.near_duplicates(rows, shingle_words=5, percent=80, id_col=row).select(F.col("doc_id").alias("member"), "component_id")
+    named = groups.join(rows.select(F.col(row).alias("member"), F.col("doc_id").alias("id")), "member")
+    kept = named.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "member")).alias("first")).select(F.col("first.member").alias(row))
+    return rows.join(kept, row, "left_semi").select(docs.columns)
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

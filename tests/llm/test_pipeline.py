@@ -49,6 +49,16 @@ def test_null_columns_and_repeated_rows(spark):
     assert empty.count() == 0
 
 
+def test_each_row_is_judged_by_its_own_text(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row_0 int"
+    a, b, c = "one two three four five six seven", "eight nine ten eleven twelve thirteen", "red green blue white black grey"
+    rows = [(1, a), (5, a), (5, b), (None, b), (None, c), (None, c), (7, None), (8, None), (9, "")]
+    df = spark.createDataFrame([(i, t, "en", None, None, 3) for i, t in rows], schema).repartition(3)
+    kept = sorted(((r.doc_id, r.text) for r in pipe.deduplicated(spark, df, "").collect()), key=str)
+    assert kept == sorted([(1, a), (5, b), (None, c), (7, None), (8, None), (9, "")], key=str)
+    assert pipe.deduplicated(spark, df, "").columns == df.columns
+
+
 def test_registered():
     names = [n for n in queries() if n.startswith("op")]
     assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11))
