@@ -117,6 +117,23 @@ def _within(x: np.ndarray, y: np.ndarray, radius: float) -> np.ndarray:
     return d <= (radius * SCALE) ** 2
 
 
+def spanning(low: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Indices of edges (u, v) that suffice to join what all of them do; low, the least node of each node's component, follows."""
+    used, left = [np.zeros(0, np.int64)], np.arange(len(u))
+    while True:
+        x, y = low[u[left]], low[v[left]]
+        apart = x != y
+        left, x, y = left[apart], x[apart], y[apart]
+        if not len(left):
+            return np.concatenate(used)
+        high, first = np.unique(np.maximum(x, y), return_index=True)
+        # every component that is not the least of its edge hooks to a lesser one by one edge, so no cycle closes
+        low[high] = np.minimum(x, y)[first]
+        used.append(left[first])
+        while (low != (up := low[low])).any():
+            low[:] = up
+
+
 def _joiner(dim: int, threshold: float):
     plan = layout(dim, threshold)
 
@@ -128,14 +145,7 @@ def _joiner(dim: int, threshold: float):
         r = rotated(v)
         left, right = (np.flatnonzero(chunk == i), np.flatnonzero(chunk == j))
         links, edges = np.zeros(len(ids), np.int64), []
-        parent = np.arange(len(ids))
-
-        def find(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
+        low = np.arange(len(ids))  # the least row that each row is known to be linked to
         norm = np.sqrt((v * v).sum(axis=1))
         for lo in range(0, len(left), 512):
             rows = left[lo : lo + 512]
@@ -155,15 +165,13 @@ def _joiner(dim: int, threshold: float):
             hit = ok[np.ix_(x, y)] & (cos >= threshold)
             links[p] += hit @ many[q]
             links[q] += many[p] @ hit
-            for s, t in zip(*np.nonzero(hit), strict=True):
-                f, g = find(p[s]), find(q[t])
-                if f != g:
-                    parent[max(f, g)] = min(f, g)
-                    edges.append((ids[p[s]], ids[q[t]]))
+            f, g = np.nonzero(hit & (low[p][:, None] != low[q]))
+            found = spanning(low, p[f], q[g])
+            edges.append(np.stack((ids[p[f[found]]], ids[q[g[found]]])))
         some = np.flatnonzero(links)
         out = pd.DataFrame({"a": ids[some], "b": pd.array([None] * len(some), "Int64"), "n": links[some]})
         if edges:
-            e = pd.DataFrame(edges, columns=["a", "b"]).astype({"b": "Int64"})
+            e = pd.DataFrame(np.concatenate(edges, axis=1).T, columns=["a", "b"]).astype({"b": "Int64"})
             e["n"] = 0
             out = pd.concat([out, e])
         return out

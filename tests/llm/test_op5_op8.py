@@ -53,11 +53,49 @@ def test_top_k_with_many_pivots_ties_and_few_rows(spark, monkeypatch):
         best = sorted(((-(v[q][0] * w[0] + v[q][1] * w[1]), i) for i, w in v.items() if i != q))[:5]
         want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
     assert sorted(tuple(r) for r in op5_topk.top_k(frame(spark, rows)).collect()) == want
-    few = op5_topk.top_k(frame(spark, rows[:3] + rows[:2])).collect()
-    assert sorted((r.query_id, r.rank, r.vec_id) for r in few) == [(0, 1, 2), (0, 2, 1)]
+    few = rows[:3] + rows[:2]  # fewer than k others, and a query id of two rows
+    assert sorted(tuple(r) for r in op5_topk.top_k(frame(spark, few)).collect()) == brute_top(few)
+    assert [tuple(r)[:3] for r in sorted(op5_topk.top_k(frame(spark, rows[:3])).collect())] == [(0, 1, 2), (0, 2, 1)]
     assert op5_topk.top_k(frame(spark, [])).count() == 0
 
 
+def brute_top(rows, k=5):
+    """As the SQL of the query has it: every row with another id is a candidate, and a query id's rows share its best."""
+    v = [(i, np.array([math.floor(256 * x) for x in e])) for i, e, _ in rows]
+    out = []
+    for me in {i for i, _ in v if i % 50 == 0}:
+        found = sorted((-int(a @ b), j) for i, a in v if i == me for j, b in v if j != me)[:k]
+        out += [(me, r + 1, j, -s) for r, (s, j) in enumerate(found)]
+    return sorted(out)
+
+
+def test_top_k_with_repeated_ids_and_vectors(spark, monkeypatch):
+    monkeypatch.setattr(op5_topk, "PER_PIVOT", 3)
+    rnd = np.random.default_rng(8)
+    rows = [(int(rnd.integers(0, 400)), rnd.standard_normal(6).tolist(), 0) for _ in range(500)]
+    one = [3.0, 0.0, 0.0, 0.0, 0.0, 0.0]
+    rows += [(i, one, 0) for i in range(300, 420)] + [(301, one, 0)] * 30 + [(350, one, 0), (1, [9.0] + [1.0] * 5, 0), (1, [-9.0] + [1.0] * 5, 0)]
+    assert sorted(tuple(r) for r in op5_topk.top_k(frame(spark, rows)).collect()) == brute_top(rows)
+
+
+def test_bounds_rule_out_far_groups(spark, monkeypatch):
+    monkeypatch.setattr(op5_topk, "PER_PIVOT", 4)
+    names, counts, keep = [], {}, op5_topk.stage
+
+    def counted(df, name):
+        out = keep(df, name)
+        counts[name] = out.count()
+        names.append(name)
+        return out
+
+    monkeypatch.setattr(op5_topk, "stage", counted)
+    rnd = np.random.default_rng(9)
+    middle = rnd.standard_normal((12, 16)) * 4
+    rows = [(i, (middle[i * 7 % 12] / np.linalg.norm(middle[i * 7 % 12]) + rnd.standard_normal(16) * 0.02).tolist(), 0) for i in range(2400)]
+    assert sorted(tuple(r) for r in op5_topk.top_k(frame(spark, rows)).collect()) == brute_top(rows)
+    assert counts["replicated"] < counts["data"]  # to all other query groups it would be 11 times the data
+
+
 def brute_links(rows, threshold=0.93):
     ok = [(i, np.array(v + [0.0] * (12 - len(v))), l) for i, v, l in rows if i is not None and l is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v)]
     links = []
@@ -101,6 +139,19 @@ def test_pigeonhole_budgets_cover_the_distance():
         assert plan[0][0] == 0 and plan[-1][1] == dim and sum(r * r for _, _, r in plan) >= 2 * 0.07
 
 
+def test_spanning_edges_join_what_all_edges_do():
+    rnd = np.random.default_rng(4)
+    low, edges, used = np.arange(200), [], []
+    for _ in range(5):
+        u, v = rnd.integers(0, 200, 90), rnd.integers(0, 200, 90)
+        found = op8_embeddings.spanning(low, u, v)
+        edges += zip(u.tolist(), v.tolist(), strict=True)
+        used += zip(u[found].tolist(), v[found].tolist(), strict=True)
+        want = closed(range(200), edges)
+        assert low.tolist() == [want[i] for i in range(200)] and closed(range(200), used) == want
+        assert len(used) == 200 - len(set(want.values()))
+
+
 def test_matrix():
     import pyarrow as pa
 
