@@ -23,6 +23,14 @@ from .sources.files import read_pdfs
 VERSION = "0.1.0"
 
 
+def relative(path: str, root: str):
+    """A file's path under root, its name if root is that file: files of one name in different folders stay apart."""
+    bare = F.regexp_replace(path, "^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?", "")
+    top = (os.path.abspath(root) if "://" not in root else root.split("://", 1)[1].partition("/")[2]).strip("/") + "/"
+    inside = F.ltrim(bare, F.lit("/"))
+    return F.when(inside.startswith(top), F.substring(inside, F.lit(len(top) + 1), F.length(inside))).otherwise(F.element_at(F.split(bare, "/"), -1))
+
+
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="quire")
     p.add_argument("-V", "--version", action="version", version=VERSION)
@@ -55,7 +63,7 @@ def main(argv: list[str] | None = None) -> int:
         datasource.register(spark)
         done = sink.packed(files).cache()
         named = done.join(files.select("doc_id", "path"), "doc_id").where("content is not null")
-        named.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content").write.format("quire").mode("append").save(os.path.abspath(a.out))
+        named.select(relative("path", a.path).alias("name"), "content").write.format("quire").mode("append").save(os.path.abspath(a.out))
         sink.report(done).show(1000, False)
     else:
         m = metrics.measured(files).cache()

@@ -147,7 +147,9 @@ class Document:
         return str(v) if isinstance(v, Name) else v.decode("latin-1") if isinstance(v, bytes) else header_version(self.data)
 
     def page_ids(self) -> list[int]:
-        root = self.catalog().get("Pages")
+        """Pages in order; none without a catalogue or a reference to the tree. A node met again is passed by."""
+        top = self.xref.trailer.get("Root")
+        root = (as_dict(self.object(top.id)) or {}).get("Pages") if isinstance(top, Ref) else None
         if not isinstance(root, Ref):
             return []
         out, seen, todo = [], set(), [root.id]

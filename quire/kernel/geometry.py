@@ -94,8 +94,12 @@ def style_of(name: str) -> tuple[bool, bool]:
     return any(s in low for s in ("bold", "black", "heavy", "demi")), any(s in low for s in ("italic", "oblique", "slanted"))
 
 
-def _number(v) -> float:
-    return f32(float(v)) if isinstance(v, (int, float)) and not isinstance(v, bool) else 0.0
+def _number(v) -> float | None:
+    return f32(float(v)) if isinstance(v, (int, float)) and not isinstance(v, bool) else None
+
+
+#: Operators of one number, and what it sets.
+_SETS = {"Tc": "char_space", "Tw": "word_space", "Tz": "scale", "TL": "leading", "Ts": "rise"}
 
 
 class Steps(dict):
@@ -142,39 +146,40 @@ class Tracker:
         return out
 
     def _do(self, op: str, args: list, out: list) -> None:
-        n = [_number(a) for a in args] if op in ("cm", "Tm", "Td", "TD", "Tc", "Tw", "Tz", "TL", "Ts") else ()
+        # an operand that is no number leaves what it would set; a matrix of six needs all of them, a move takes 0 for it
+        n = [_number(a) for a in args[:6]] if op in ("cm", "Tm", "Td", "TD", "Tf", '"') or op in _SETS else []
         if op == "q":
             if len(self.stack) < STACK:
                 self.stack.append((self.ctm, self.font, self.size, self.encoding, self.cmap, self.char_space, self.word_space, self.leading, self.rise, self.scale))
         elif op == "Q":
             if self.stack:
                 self.ctm, self.font, self.size, self.encoding, self.cmap, self.char_space, self.word_space, self.leading, self.rise, self.scale = self.stack.pop()
-        elif op == "cm" and len(n) >= 6:
-            self.ctm = multiply(tuple(n[:6]), self.ctm)
+        elif op == "cm":
+            if len(n) == 6 and None not in n:
+                self.ctm = multiply(tuple(n), self.ctm)
         elif op in ("BT", "ET"):
             self.tm = self.line = IDENTITY
-        elif op == "Tf" and len(args) >= 2 and isinstance(args[0], str):
-            self.font, self.size = str(args[0]), _number(args[1])
-            info = self.fonts.get(self.font)
-            self.cmap = info.cmap if info else None
-            if info and info.encoding:
-                self.encoding = info.encoding
-        elif op == "Tc" and n:
-            self.char_space = n[0]
-        elif op == "Tw" and n:
-            self.word_space = n[0]
-        elif op == "Tz" and n:
-            self.scale = n[0]
-        elif op == "TL" and n:
-            self.leading = n[0]
-        elif op == "Ts" and n:
-            self.rise = n[0]
-        elif op in ("Td", "TD") and len(n) >= 2:
+        elif op == "Tf":
+            if args:
+                name = args[0].decode("utf-8", "ignore") if isinstance(args[0], bytes) else args[0] if isinstance(args[0], str) else ""
+                self.font = str(name).lstrip("/")
+                info = self.fonts.get(self.font)
+                self.cmap = info.cmap if info else None
+                if info and info.encoding:
+                    self.encoding = info.encoding
+            if len(n) > 1 and n[1] is not None:
+                self.size = n[1]
+        elif op in _SETS:
+            if n and n[0] is not None:
+                setattr(self, _SETS[op], n[0])
+        elif op in ("Td", "TD"):
+            x, y = (v or 0.0 for v in [*n, None, None][:2])
             if op == "TD":
-                self.leading = -n[1]
-            self._move(n[0], n[1])
-        elif op == "Tm" and len(n) >= 6:
-            self.tm = self.line = tuple(n[:6])
+                self.leading = -y
+            self._move(x, y)
+        elif op == "Tm":
+            if len(n) == 6 and None not in n:
+                self.tm = self.line = tuple(n)
         elif op == "T*":
             self._move(0.0, -self.leading)
         elif op == "Tj" and args and isinstance(args[0], bytes):
@@ -184,10 +189,11 @@ class Tracker:
         elif op == "'" and args and isinstance(args[0], bytes):
             self._move(0.0, -self.leading)
             self._show([args[0]], out)
-        elif op == '"' and len(args) >= 3 and isinstance(args[2], bytes):
-            self.word_space, self.char_space = _number(args[0]), _number(args[1])
+        elif op == '"':
+            self.word_space, self.char_space = (old if v is None else v for v, old in zip([*n, None, None], (self.word_space, self.char_space)))
             self._move(0.0, -self.leading)
-            self._show([args[2]], out)
+            if len(args) >= 3 and isinstance(args[2], bytes):
+                self._show([args[2]], out)
 
     def _move(self, x: float, y: float) -> None:
         self.tm = self.line = multiply(translation(x, y), self.line)

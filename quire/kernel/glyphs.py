@@ -30,7 +30,7 @@ arrowright → arrowdown ↓ arrowboth ↔""".split()
 NAMES: dict[str, str] = {n: chr(32 + i) for i, n in enumerate(_ASCII)}
 NAMES |= {c: c for c in _CAPS + _SMALL} | {n: chr(0x5B + i) for i, n in enumerate(_MORE)} | {n: chr(0x7B + i) for i, n in enumerate(_LAST)}
 NAMES |= {n: chr(0xA1 + i) for i, n in enumerate(_LATIN1)} | dict(zip(_OTHER[0::2], _OTHER[1::2], strict=True))
-NAMES |= {"nbspace": "\xa0", "nonbreakingspace": "\xa0", "sfthyphen": "\xad", "overscore": "¯", "middot": "·", "Ohm": "Ω"}
+NAMES |= {"nbspace": "\xa0", "nonbreakingspace": "\xa0", "sfthyphen": "\xad", "overscore": "¯", "middot": "·", "Ohm": "Ω", "euro": "€", "idotaccent": "i"}
 
 #: The 258 glyphs of the standard Macintosh order.
 MAC_ORDER = [".notdef", ".null", "nonmarkingreturn", *_ASCII, *_CAPS, *_MORE, *_SMALL, *_LAST] + """Adieresis Aring Ccedilla Eacute Ntilde Odieresis
@@ -72,19 +72,23 @@ Uacutesmall Ucircumflexsmall Udieresissmall Yacutesmall Thornsmall Ydieresissmal
 Medium Regular Roman Semibold""".split()
 
 
+def _scalar(digits: str) -> str | None:
+    """The character of hexadecimal digits, if there is one."""
+    code = int(digits, 16) if digits and all(c in "0123456789abcdefABCDEF" for c in digits) else -1
+    return chr(code) if 0 <= code < 0x110000 and not 0xD800 <= code < 0xE000 else None
+
+
 def glyph_to_char(name: str | None) -> str | None:
-    """The character of a glyph name: listed, one visible ASCII character, uniXXXX, uXXXX to uXXXXXX, or so without a suffix."""
+    """The character of a glyph name: listed, one visible ASCII character, uniXXXX (further digits name more glyphs), uXXXX to uXXXXXX, or so without a suffix."""
     if not name:
         return None
     if name in NAMES:
         return NAMES[name]
     if len(name) == 1 and "!" <= name <= "~":
         return name
-    for prefix, sizes in (("uni", (4,)), ("u", (4, 5, 6))):
-        digits = name[len(prefix) :]
-        if name.startswith(prefix) and len(digits) in sizes and all(c in "0123456789abcdefABCDEF" for c in digits):
-            code = int(digits, 16)
-            if code < 0x110000 and not 0xD800 <= code < 0xE000:
-                return chr(code)
+    if name.startswith("uni") and len(name) >= 7 and (c := _scalar(name[3:7])):
+        return c
+    if name.startswith("u") and 5 <= len(name) <= 7 and (c := _scalar(name[1:])):
+        return c
     head, dot, _ = name.partition(".")
     return glyph_to_char(head) if dot and head else None

@@ -65,6 +65,21 @@ def load(files: DataFrame, mode: str = "resilient", merge: str = "newest") -> Da
     return map_documents(with_password(files), rows, schema, _INPUTS)
 
 
+def security(files: DataFrame) -> DataFrame:
+    """Parameters of each encrypted document's security handler, once its password has opened it; no row for a document that is not encrypted or stays shut."""
+
+    def rows(doc_id, content, password):
+        try:
+            h = _open(content, password).security
+        except (PdfError, *UNEXPECTED):
+            return
+        if h is not None:
+            yield doc_id, h.version, h.revision, 8 * h.key_bytes, h.stream_cipher, h.string_cipher, h.permissions, h.encrypt_metadata, len(h.dek)
+
+    schema = "doc_id bigint, version int, revision int, key_bits int, stream_cipher string, string_cipher string, permissions bigint, encrypt_metadata boolean, dek_bytes int"
+    return map_documents(with_password(files), rows, schema, _INPUTS)
+
+
 def xref(files: DataFrame, mode: str = "resilient", revisions: bool = False) -> DataFrame:
     """A row for each entry; with revisions, for each entry of each section, rev 0 the newest."""
 

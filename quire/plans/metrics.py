@@ -5,12 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MIB = 1048576.0
-
+from .relational import ranged
 
-def indexed(values: str, index: Column) -> Column:
-    """The value at a 0-based index of the sorted values. Exact; one list of doubles, for groups that fit a task."""
-    return F.get(F.array_sort(F.collect_list(values)), index.cast("int"))
+MIB = 1048576.0
 
 
 def summary(m: DataFrame) -> DataFrame:
@@ -26,13 +23,15 @@ def summary(m: DataFrame) -> DataFrame:
 
 
 def at_ranks(m: DataFrame, ranks: dict[str, Column], group: list[str] | None = None) -> DataFrame:
-    """Values at 0-based ranks of ms, each an expression of n. No list is made and no value gathered in one task but what
-    the ranks ask for: values are counted by value, and cumulative counts say which value a rank falls on."""
+    """Values at 0-based ranks of ms, each an expression of n. Values are counted by value and range-partitioned; a partition
+    adds up its own counts, and those of the partitions before it are one row each. No task holds all values."""
     group = group or []
-    by_value = m.groupBy(*group, "ms").agg(F.count("*").alias("c"))
-    w = Window.partitionBy(*group).orderBy("ms").rowsBetween(Window.unboundedPreceding, 0)
-    total = Window.partitionBy(*group)
-    at = by_value.withColumn("upto", F.sum("c").over(w)).withColumn("n", F.sum("c").over(total))
+    by_value = ranged(m.groupBy(*group, "ms").agg(F.count("*").alias("c")), *group, "ms")
+    parts = by_value.groupBy(*group, "part").agg(F.sum("c").alias("held"))
+    before = F.sum("held").over(Window.partitionBy(*group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    placed = parts.select(*group, "part", F.coalesce(before, F.lit(0)).alias("base"), F.sum("held").over(Window.partitionBy(*group)).alias("n"))
+    w = Window.partitionBy(*group, "part").orderBy("ms").rowsBetween(Window.unboundedPreceding, 0)
+    at = by_value.withColumn("within", F.sum("c").over(w)).join(placed, [*group, "part"]).withColumn("upto", F.col("base") + F.col("within"))
     return at.groupBy(*group).agg(*(F.min(F.when(F.col("upto") > rank, F.col("ms"))).alias(name) for name, rank in ranks.items()))
 
 
@@ -86,3 +85,34 @@ def measured(files: DataFrame) -> DataFrame:
         yield doc_id, len(content), 1000 * (time.perf_counter() - start), error, resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
 
     return map_documents(with_password(files), rows, "doc_id bigint, bytes bigint, ms double, error string, rss_kb bigint", ["doc_id", "content", "password"])
+
+
+def memory_probe(files: DataFrame, most: int = 10) -> DataFrame:
+    """What it takes to open a document and to read its first objects: doc_id, objects read, streams among them, ms to open, peak memory of the worker and how much of it this grew."""
+    import resource
+    import time
+
+    from ..kernel.base import PdfError, Stream
+    from ..kernel.document import Document
+    from ..operators.batches import map_documents, with_password
+
+    def peak() -> int:
+        return resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+
+    def rows(doc_id, content, password):
+        before, start = peak(), time.perf_counter()
+        ms, found = None, []
+        try:
+            d = Document.load(content or b"", password or b"")
+            ms = 1000 * (time.perf_counter() - start)
+            for n in range(1, min(most, d.object_count()) + 1):
+                try:
+                    found.append(d.object(n))
+                except PdfError:
+                    continue
+        except PdfError:
+            pass
+        found = [x for x in found if x is not None]
+        yield doc_id, len(found), sum(isinstance(x, Stream) for x in found), ms, peak(), peak() - before
+
+    return map_documents(with_password(files), rows, "doc_id bigint, objects bigint, streams bigint, ms double, rss_kb bigint, grown_kb bigint", ["doc_id", "content", "password"])

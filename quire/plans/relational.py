@@ -34,55 +34,75 @@ def dangling(object_kv: DataFrame, entries: DataFrame) -> DataFrame:
     return references(object_kv).join(known, ["doc_id", "to_id"], "left_anti")
 
 
-def reachable(object_kv: DataFrame, roots: DataFrame, max_rounds: int = 1000) -> DataFrame:
-    """(doc_id, obj_id) of what roots(doc_id, obj_id) lead to: frontier joins until nothing is new."""
+def reachable(object_kv: DataFrame, roots: DataFrame) -> DataFrame:
+    """(doc_id, obj_id) of what roots(doc_id, obj_id) lead to: frontier joins until nothing is new, which cycles come to as well."""
     checkpointed(object_kv.sparkSession)
     edges = references(object_kv).select("doc_id", F.col("from_id").alias("obj_id"), "to_id").distinct().checkpoint()
     seen = frontier = roots.select("doc_id", "obj_id").distinct().checkpoint()
-    for _ in range(max_rounds):
+    while not frontier.isEmpty():
         frontier = frontier.join(edges, ["doc_id", "obj_id"]).select("doc_id", F.col("to_id").alias("obj_id")).distinct().join(seen, ["doc_id", "obj_id"], "left_anti").checkpoint()
-        if frontier.isEmpty():
-            break
         seen = seen.unionByName(frontier).checkpoint()
     return seen
 
 
 def page_tree(object_kv: DataFrame, max_levels: int = 100) -> DataFrame:
-    """(doc_id, page_no, page_obj_id) from kid edges by a recursive query, ordered by path and safe against cycles.
+    """(doc_id, page_no, page_obj_id) from kid edges, a join for each level of the trees, ordered by path and safe against cycles.
 
-    The second way to the pages relation, which walks a document where it lies.
+    The second way to the pages relation, which walks a document where it lies. A page met again counts where it is met first. Trees of more than
+    max_levels levels are an error.
     """
-    spark = object_kv.sparkSession
-    kind = object_kv.where("size(path) = 1 and path[0] = 'Type' and kind = 'name'").select("doc_id", "obj_id", F.col("s").alias("type"))
-    kids = object_kv.where("size(path) = 2 and path[0] = 'Kids' and kind = 'ref'").select("doc_id", "obj_id", F.expr("cast(path[1] as int)").alias("ord"), F.col("ref_id").alias("kid"))
-    root = object_kv.where("size(path) = 1 and path[0] = 'Pages' and kind = 'ref'").join(kind.where("type = 'Catalog'"), ["doc_id", "obj_id"]).select("doc_id", F.col("ref_id").alias("obj_id"))
-    for name, df in (("_quire_kind", kind), ("_quire_kids", kids), ("_quire_root", root)):
-        df.createOrReplaceTempView(name)
-    spark.conf.set("spark.sql.cteRecursionLevelLimit", str(max_levels))
-    return spark.sql("""
-        WITH RECURSIVE w(doc_id, obj_id, path, seen) AS (
-          SELECT doc_id, obj_id, array(0), array(obj_id) FROM _quire_root
-          UNION ALL
-          SELECT w.doc_id, k.kid, concat(w.path, array(k.ord)), concat(w.seen, array(k.kid))
-          FROM w JOIN _quire_kids k ON k.doc_id = w.doc_id AND k.obj_id = w.obj_id WHERE NOT array_contains(w.seen, k.kid))
-        SELECT w.doc_id, cast(row_number() OVER (PARTITION BY w.doc_id ORDER BY w.path) AS int) AS page_no, w.obj_id AS page_obj_id
-        FROM w JOIN _quire_kind t ON t.doc_id = w.doc_id AND t.obj_id = w.obj_id WHERE t.type = 'Page'""")
+    checkpointed(object_kv.sparkSession)
+    kind = object_kv.where("size(path) = 1 and path[0] = 'Type' and kind = 'name'").select("doc_id", "obj_id", F.col("s").alias("type")).checkpoint()
+    kids = object_kv.where("size(path) = 2 and path[0] = 'Kids' and kind = 'ref'").select("doc_id", "obj_id", F.expr("cast(path[1] as int)").alias("ord"), F.col("ref_id").alias("kid")).checkpoint()
+    top = object_kv.where("size(path) = 1 and path[0] = 'Pages' and kind = 'ref'").join(kind.where("type = 'Catalog'"), ["doc_id", "obj_id"]).select("doc_id", F.col("ref_id").alias("obj_id"))
+    level = top.select("doc_id", "obj_id", F.array(F.lit(0)).alias("at"), F.array("obj_id").alias("seen")).checkpoint()
+    nodes = level.drop("seen")
+    while not level.isEmpty():
+        if max_levels == 0:
+            raise ValueError("a page tree has too many levels")
+        max_levels -= 1
+        below = level.join(kids, ["doc_id", "obj_id"]).where("not array_contains(seen, kid)")
+        level = below.select("doc_id", F.col("kid").alias("obj_id"), F.expr("concat(at, array(ord))").alias("at"), F.expr("concat(seen, array(kid))").alias("seen")).checkpoint()
+        nodes = nodes.unionByName(level.drop("seen"))
+    pages = nodes.join(kind.where("type = 'Page'"), ["doc_id", "obj_id"]).groupBy("doc_id", "obj_id").agg(F.min("at").alias("at"))
+    return pages.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("at")).cast("int").alias("page_no"), F.col("obj_id").alias("page_obj_id"))
+
+
+def ranged(df: DataFrame, *by: str) -> DataFrame:
+    """df in range partitions by columns, numbered as part in their order; pinned, as ranges are drawn by sampling."""
+    checkpointed(df.sparkSession)
+    return df.repartitionByRange(*by).withColumn("part", F.spark_partition_id()).checkpoint()
 
 
 def enclosing(starts: DataFrame, markers: DataFrame) -> DataFrame:
     """As-of: for each marker(doc_id, pos) the object of starts(doc_id, obj_id, offset) that begins last before it.
 
-    One sort by document and position carries the last object down; no pairs are made.
+    Rows are range-partitioned by document and position, and the last object is carried down in each partition; what a partition hands to the next ones of
+    a document is one row. So a document of any length is as many tasks as it needs, and no pairs are made.
     """
-    both = starts.select("doc_id", F.col("offset").alias("pos"), F.lit(1).alias("rank"), "obj_id").unionByName(markers.select("doc_id", "pos", F.lit(0).alias("rank"), F.lit(None).cast("bigint").alias("obj_id")))
-    carried = F.last("obj_id", ignorenulls=True).over(Window.partitionBy("doc_id").orderBy("pos", "rank").rowsBetween(Window.unboundedPreceding, 0))
-    return both.withColumn("obj_id", carried).where("rank = 0").select("doc_id", "pos", "obj_id")
+    none = F.lit(None).cast("bigint").alias("obj_id")
+    both = starts.select("doc_id", F.col("offset").alias("pos"), F.lit(1).alias("rank"), "obj_id").unionByName(markers.select("doc_id", "pos", F.lit(0).alias("rank"), none))
+    rows = ranged(both, "doc_id", "pos", "rank")
+    carried = F.last("obj_id", ignorenulls=True)
+    within = rows.withColumn("obj_id", carried.over(Window.partitionBy("doc_id", "part").orderBy("pos", "rank").rowsBetween(Window.unboundedPreceding, 0)))
+    ends = rows.groupBy("doc_id", "part").agg(F.max_by("obj_id", F.when(F.col("obj_id").isNotNull(), F.struct("pos", "rank"))).alias("end"))
+    before = F.last("end", ignorenulls=True).over(Window.partitionBy("doc_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    handed = ends.select("doc_id", "part", before.alias("handed"))
+    return within.where("rank = 0").join(handed, ["doc_id", "part"]).select("doc_id", "pos", F.coalesce("obj_id", "handed").alias("obj_id"))
 
 
 def codespace(codes: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Range join of codes(code) to ranges(low, high): short ranges are spelt out, so that the join is an equi-join."""
-    spelt = ranges.withColumn("code", F.explode(F.sequence("low", "high")))
-    return codes.join(spelt, "code", "left")
+    """Range join of codes(code) to ranges(low, high), both ends in it: each code with each range around it, or none.
+
+    A range is filed under its size's power of two, in the one or two buckets of that width that it touches; a code looks in its own bucket of every
+    width in use, of which there are 64 at most. So the join is an equi-join, and the size of a range costs nothing.
+    """
+    width = F.expr("cast(ceil(log2(high - low + 1)) as int)")
+    filed = ranges.where("low <= high").withColumn("width", width).withColumn("bucket", F.explode(F.expr("sequence(shiftright(cast(low as long), width), shiftright(cast(high as long), width))")))
+    widths = F.array(*(F.lit(r.width) for r in filed.select("width").distinct().collect())).cast("array<int>")
+    asked = codes.select("code").distinct().withColumn("width", F.explode(widths)).withColumn("bucket", F.expr("shiftright(cast(code as long), width)"))
+    found = asked.join(filed, ["width", "bucket"]).where("code between low and high").drop("width", "bucket")
+    return codes.join(found, "code", "left")
 
 
 def operator_dimension(spark) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 
 from ..kernel.base import PdfError
 from ..kernel.document import Document
+from ..operators.tables import UNEXPECTED, fault
 
 
 @dataclass
@@ -55,21 +56,24 @@ class PagesReader(DataSourceReader):
                 for i, n in enumerate(d.page_ids()):
                     if self.page is None or self.page == i + 1:
                         yield path, i + 1, d.page_text(n), None
-            except PdfError as e:
-                yield path, self.page, None, e.kind
+            except (PdfError, *UNEXPECTED) as e:
+                yield path, self.page, None, fault(e)[0]
 
 
 class FilesWriter(DataSourceWriter):
-    """Rows (name, content) as files of a folder; files of a failed job are removed."""
+    """Rows (name, content) as files of a folder, names with its subfolders; files of a failed job are removed."""
 
     def __init__(self, options):
         self.root = options["path"].removeprefix("file://")
 
     def write(self, iterator):
-        os.makedirs(self.root, exist_ok=True)
         done = []
         for row in iterator:
-            path = os.path.join(self.root, os.path.basename(row.name))
+            name = os.path.normpath(row.name)
+            if os.path.isabs(name) or name.split(os.sep)[0] == "..":
+                raise ValueError(f"{row.name} lies outside the folder")
+            path = os.path.join(self.root, name)
+            os.makedirs(os.path.dirname(path), exist_ok=True)
             with open(path + ".part", "wb") as f:
                 f.write(row.content)
             os.replace(path + ".part", path)
