@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .op9_language import fold
-from .shared import mix, slices, stage, words
+from .shared import mix, slices, stage, unstage, words
 
 #: PER_TASK is how many blocks a task of the scan streams, about.
 DEPTH, BLOCK, PER_TASK = 4, 16 << 20, 8
@@ -147,7 +147,7 @@ def _log_kt() -> Column:
 
 
 def model(grams: DataFrame, depth: int) -> DataFrame:
-    """(key, lp): log10 probability of the last byte of each n-gram after the others. grams: key, n."""
+    """(key, lp), staged: log10 probability of the last byte of each n-gram after the others. grams: key, n."""
     bits = grams.select("key", "n", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("i"))
     bits = bits.select(
         "key",
@@ -174,8 +174,11 @@ def model(grams: DataFrame, depth: int) -> DataFrame:
         mixed = deeper.join(above, "up").select("node", (F.col("p0") + F.col("r0") * F.col("stop") * one).alias("p"), (F.col("r0") * (1 - F.col("stop"))).alias("rest"))
         if d < depth:
             mixed = stage(mixed, "mixed")
+            levels.append(mixed)
     chosen = bits.join(mixed.select("node", "p"), "node")
-    return chosen.groupBy("key").agg(F.sum(F.log10(F.expr("if(bit = 1, p, 1 - p)"))).alias("lp"))
+    out = stage(chosen.groupBy("key").agg(F.sum(F.log10(F.expr("if(bit = 1, p, 1 - p)"))).alias("lp")), "probability")
+    unstage(*levels)
+    return out
 
 
 def _shorter(done: int, depth: int) -> Column:
@@ -271,7 +274,9 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, depth: int = DEPTH, id
     asked = stage(blobs.mapInArrow(_asker(depth), "block long, kind int, key long, n long"), "asked")
     grams = asked.where("kind = 0").drop("kind")
     tokens = asked.where("kind = 1").drop("kind")
-    probability = stage(model(stage(grams.groupBy("key").agg(F.sum("n").alias("n")), "grams"), depth), "probability")
+    whole = stage(grams.groupBy("key").agg(F.sum("n").alias("n")), "grams")
+    probability = model(whole, depth)
+    unstage(whole)
     # a token's rows are one for each block that has it, so its count is joined to them: a join splits a frequent token, a window would not
     totals = stage(tokens.groupBy("key").agg(F.sum("n").alias("c")).where("c > 0"), "totals")
     n_train, n_kinds = totals.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, shingle_sets, slices, stage
+from .shared import components, shingle_sets, slices, stage, unstage
 
 COORDINATES, LOSS, ROUNDS, CHUNK = 64, 2e-6, 2, 512
 _rng = np.random.default_rng(7)
@@ -194,11 +194,17 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
         "classes",
     )
 
+    passed: list[DataFrame] = []
+
+    def passing(df: DataFrame, name: str) -> DataFrame:
+        passed.append(stage(df, name))
+        return passed[-1]
+
     posted = classes.select("rep", F.posexplode("sig").alias("p", "v")).select("rep", F.expr("shiftleft(cast(p as long), 32) | (cast(v as long) & 4294967295L)").alias("key"))
     shared = posted.groupBy("key").agg(F.count("*").alias("f")).where("f > 1")
     posts = posted.join(shared, "key").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("f", "key"))).alias("posts")).where(F.size("posts") >= match)
-    posts = stage(posts.select("rep", F.expr(f"transform(slice(posts, 1, size(posts) - {match - 1}), x -> x.key)").alias("keys")), "posts")
-    sigs = stage(classes.drop("d2").join(posts, "rep"), "sigs")
+    posts = passing(posts.select("rep", F.expr(f"transform(slice(posts, 1, size(posts) - {match - 1}), x -> x.key)").alias("keys")), "posts")
+    sigs = passing(classes.drop("d2").join(posts, "rep"), "sigs")
     prefixes = sigs.select("rep", "n", "low", "high", F.explode("keys").alias("key"))
 
     def renamed(df: DataFrame, **cols: str) -> DataFrame:
@@ -216,24 +222,24 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     hubs = prefixes.groupBy("key").agg(F.array_distinct(F.array(*hub)).alias("hs"), F.count("*").alias("c")).where("c > 1").select("key", F.explode("hs").alias("h"))
     hubs = hubs.select("key", F.col("h.rep").alias("b"), *(F.col(f"h.{c}").alias(c + "2") for c in ("n", "low", "high")))
     spokes = prefixes.join(hubs, "key").where(f"rep <> b and {likely}").groupBy(F.col("rep").alias("a"), "b").agg(F.first(F.expr(agree)).alias("same"))
-    spokes = stage(spokes, "spokes")
-    clusters = stage(components(spokes).select(F.col("id").alias("rep"), F.col("component").alias("cluster")), "clusters")
+    spokes = passing(spokes, "spokes")
+    clusters = passing(components(spokes).select(F.col("id").alias("rep"), F.col("component").alias("cluster")), "clusters")
 
     # what is likely across clusters
     placed = prefixes.join(clusters, "rep", "left").withColumn("cluster", F.coalesce("cluster", "rep"))
     spread = placed.groupBy("key").agg(F.min("cluster").alias("least"), F.max("cluster").alias("most"), F.ceil(F.count("*") / (2 * CHUNK)).alias("chunks")).where("least < most").select("key", "chunks")
-    placed = stage(placed.join(spread, "key").withColumn("chunk", F.expr("pmod(xxhash64(rep, 2), chunks)")), "placed")
+    placed = passing(placed.join(spread, "key").withColumn("chunk", F.expr("pmod(xxhash64(rep, 2), chunks)")), "placed")
     # a key of many texts meets itself chunk by chunk
     here = placed.withColumn("i", F.col("chunk")).withColumn("j", F.explode(F.expr("sequence(chunk, chunks - 1)")))
     other = placed.select("key", F.explode(F.expr("sequence(0L, chunk)")).alias("i"), F.col("chunk").alias("j"), F.col("rep").alias("b"), *(F.col(c).alias(c + "2") for c in ("n", "low", "high", "cluster")))
     across = here.join(other, ["key", "i", "j"]).where(f"(i < j or rep < b) and cluster <> cluster2 and {likely}")
     across = across.select(F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b")).distinct()
-    across = stage(counted(across), "across")
+    across = passing(counted(across), "across")
 
     # only texts that are in a likely pair are moved, and each once
-    wanted = stage(clusters.select("rep").unionByName(renamed(across, a="rep")).unionByName(renamed(across, b="rep")).distinct(), "wanted")
-    texts = stage(src.join(renamed(wanted, rep="doc_id"), "doc_id"), "texts")
-    digests = stage(sigs.join(wanted, "rep").select("rep", "d1"), "digests")
+    wanted = passing(clusters.select("rep").unionByName(renamed(across, a="rep")).unionByName(renamed(across, b="rep")).distinct(), "wanted")
+    texts = passing(src.join(renamed(wanted, rep="doc_id"), "doc_id"), "texts")
+    digests = passing(sigs.join(wanted, "rep").select("rep", "d1"), "digests")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         named = pairs.select("a", "b").join(renamed(digests, rep="a", d1="da"), "a").join(renamed(digests, rep="b", d1="db"), "b")
@@ -243,13 +249,13 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     left, links, groups = spokes, None, None
     for _ in range(ROUNDS):
         best = left.groupBy("a").agg(F.max(F.struct("same", "b")).alias("x")).select("a", "x.b")
-        new = stage(confirmed(best), "links")
+        new = passing(confirmed(best), "links")
         links = new if links is None else links.unionByName(new)
-        groups = stage(components(links), "groups")
+        groups = passing(components(links), "groups")
         left = spokes.join(renamed(groups, id="a", component="la"), "a", "left").join(renamed(groups, id="b", component="lb"), "b", "left").where("coalesce(la, a) <> coalesce(lb, b)")
 
     # clusters with several components: the texts outside the largest one against all
-    of = stage(clusters.join(groups.withColumnRenamed("id", "rep"), "rep", "left").select("rep", "cluster", F.coalesce("component", "rep").alias("label")), "labels")
+    of = passing(clusters.join(groups.withColumnRenamed("id", "rep"), "rep", "left").select("rep", "cluster", F.coalesce("component", "rep").alias("label")), "labels")
     shares = of.groupBy("cluster", "label").agg(F.count("*").alias("c"))
     sizes = shares.groupBy("cluster").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.max("c").alias("inside"), F.sum("c").alias("total")).where("inside < total")
     sizes = sizes.select("cluster", "main", F.ceil(F.col("inside") / CHUNK).alias("mains"), F.ceil((F.col("total") - F.col("inside")) / CHUNK).alias("outs"))
@@ -264,11 +270,12 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     # clusters of one task are solved some at a time
     per = F.when((F.col("mains") == 1) & (F.col("outs") == 1), F.pmod(F.xxhash64("cluster"), F.lit(max(64, wanted.count() // CHUNK)))).otherwise(F.xxhash64(*cell))
     full = tasks.withColumn("bucket", per).drop("mains", "outs").join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep").join(digests, "rep")
-    new = stage(full.groupBy("bucket").applyInPandas(_solver(shingle_words, percent), "a long, b long"), "links")
+    new = passing(full.groupBy("bucket").applyInPandas(_solver(shingle_words, percent), "a long, b long"), "links")
     links = links.unionByName(new)
 
-    links = links.unionByName(stage(confirmed(across), "links"))
+    links = links.unionByName(passing(confirmed(across), "links"))
     groups = components(links)
+    unstage(*passed)  # the components have staged what they need of the links
     of_class = classes.join(groups.withColumnRenamed("id", "rep"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component_id"))
     return (
         signed.select("doc_id", "n_shingles", "d1", "d2")

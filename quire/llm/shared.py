@@ -43,7 +43,7 @@ def work_dir(spark: SparkSession) -> str:
 def stage(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends there and lost executors lose nothing.
 
-    The folder goes when the application ends.
+    The folder goes by unstage, or when the application ends.
     """
     spark = df.sparkSession
     path = f"{work_dir(spark)}/quire-{name}-{uuid.uuid4().hex}"
@@ -54,7 +54,16 @@ def stage(df: DataFrame, name: str, partition_by: str | None = None) -> DataFram
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = at  # type: ignore[attr-defined]
+    return out
+
+
+def unstage(*tables: DataFrame) -> None:
+    """Delete staged tables of which all that is still to be read has been staged itself."""
+    for t in tables:
+        at = t.staged_at  # type: ignore[attr-defined]
+        at.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def roots(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -108,7 +117,8 @@ def _rooted(hook: DataFrame) -> DataFrame:
     while True:
         further = hook.select(F.col("u").alias("to"), F.col("to").alias("next"))
         doubled = hook.join(further, "to").select("u", F.col("next").alias("to"), (F.col("next") != F.col("to")).alias("moved"))
-        hook = stage(doubled, "hooks")
+        hook, before = stage(doubled, "hooks"), hook
+        unstage(before)
         if hook.where("moved").isEmpty():
             return hook.select("u", "to")
 
@@ -132,7 +142,8 @@ def components(edges: DataFrame, bound: int = EDGES) -> DataFrame:
         rounds.append(hook)
         moved = now.join(hook.withColumnRenamed("to", "a"), "u").join(hook.select(F.col("u").alias("v"), F.col("to").alias("b")), "v").where("a <> b")
         moved = moved.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-        now = stage(moved.mapInArrow(_contract, "u long, v long"), "stars")
+        now, before = stage(moved.mapInArrow(_contract, "u long, v long"), "stars"), now
+        unstage(before)
     out = now.repartition(1).mapInArrow(_label, "id long, component long")
     for hook in reversed(rounds):
         known = stage(out, "labels").withColumnRenamed("id", "to")

@@ -133,7 +133,7 @@ def brute_ctw(train: list[bytes], depth: int):
     return score
 
 
-@pytest.mark.parametrize("depth", [1, 3])
+@pytest.mark.parametrize("depth", [1, 3, ctw.DEPTH])
 def test_weighting_against_recursion(spark, depth):
     texts, _ = corpus(50, seed=4)
     texts = {i: t[:60] for i, t in texts.items()} | {900: None, 901: "", 902: "é日\x00", 903: "zzzz never seen zzzz"}
