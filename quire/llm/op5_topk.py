@@ -198,9 +198,11 @@ def prepared(vectors: DataFrame, k: int, id_col: str, vector_col: str, every: in
 def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k best others for each row whose id is divisible by every."""
     asked, data = prepared(vectors, k, id_col, vector_col, every)
-    top2 = float(data.agg(F.max("n2")).first()[0] or 0.0)
+    top2, n = data.agg(F.coalesce(F.max("n2"), F.lit(0.0)), F.count("*")).first()
     wanted = int(min(PIVOTS, max(1, asked.count() // PER_PIVOT)))
-    sample = data.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(SAMPLE).collect()
+    # about 4 SAMPLE rows pass the hash, so that partitions hand few to the driver, however many there are
+    some = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, 4 * SAMPLE / max(n, 1)))
+    sample = data.where(some).orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(SAMPLE).collect()
     pivots = centres(unpack([r.v for r in sample], np.int64).astype(np.float64), wanted) if sample else np.zeros((1, 1))
     extra = np.sqrt(np.maximum(top2 - (pivots**2).sum(axis=1), 0))
     schema = "vec_id long, v binary, n2 double, g int, d double"
