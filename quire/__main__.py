@@ -3,7 +3,8 @@
     python -m quire inspect PATH
     python -m quire extract-text PATH [--page N]
     python -m quire pack IN OUT_DIR
-    python -m quire bench DIR
+    python -m quire bench DIR [--cold]
+    python -m quire probe PATH
 """
 
 from __future__ import annotations
@@ -42,7 +43,10 @@ def main(argv: list[str] | None = None) -> int:
     pack = sub.add_parser("pack")
     pack.add_argument("path")
     pack.add_argument("out")
-    sub.add_parser("bench").add_argument("path")
+    bench = sub.add_parser("bench")
+    bench.add_argument("path")
+    bench.add_argument("--cold", action="store_true", help="drop the files from this machine's page cache first")
+    sub.add_parser("probe", help="memory that opening each file and reading its first ten objects takes").add_argument("path")
     a = p.parse_args(argv)
     if a.verb == "extract-text" and a.page is not None and a.page < 1:
         print("pages are numbered from 1", file=sys.stderr)
@@ -65,7 +69,11 @@ def main(argv: list[str] | None = None) -> int:
         named = done.join(files.select("doc_id", "path"), "doc_id").where("content is not null")
         named.select(relative("path", a.path).alias("name"), "content").write.format("quire").mode("append").save(os.path.abspath(a.out))
         sink.report(done).show(1000, False)
+    elif a.verb == "probe":
+        files.select("doc_id", "path", "length").join(metrics.memory_probe(files), "doc_id").drop("doc_id").show(1000, False)
     else:
+        if a.cold:
+            print(f"{datasource.evict(a.path)} files dropped from the page cache")
         m = metrics.measured(files).cache()
         metrics.summary(m).show(vertical=True)
         metrics.tool_percentiles(m).show()

@@ -33,6 +33,19 @@ def pdf_paths(root: str) -> list[str]:
     return sorted(p for p in found if p.lower().endswith(".pdf"))
 
 
+def evict(root: str) -> int:
+    """Drop the PDFs of a local folder from the page cache, so that what is read next is cold; how many there were."""
+    paths = pdf_paths(root)
+    for path in paths:
+        f = os.open(path, os.O_RDONLY)
+        try:
+            os.fsync(f)
+            os.posix_fadvise(f, 0, 0, os.POSIX_FADV_DONTNEED)
+        finally:
+            os.close(f)
+    return len(paths)
+
+
 class PagesReader(DataSourceReader):
     def __init__(self, options):
         self.root, self.per, self.page = options["path"], int(options.get("files_per_partition", 64)), None

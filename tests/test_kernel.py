@@ -235,6 +235,7 @@ def test_cmap():
 
 def test_glyph_names():
     assert [glyphs.glyph_to_char(n) for n in ("A", "fi", "Euro", "uni20AC", "u1F600", "a.alt", "uniD800", ".notdef", "")] == ["A", "ﬁ", "€", "€", "😀", "a", None, None, None]
+    assert [glyphs.glyph_to_char(n) for n in ("euro", "idotaccent", "uni00410042", "uni0041.alt", "uni004", "uni00G10042")] == ["€", "i", "A", "A", None, None]
     assert len(glyphs.MAC_ORDER) == 258 and len(glyphs.CFF_STRINGS) == 391
     assert glyphs.MAC_ORDER[36] == "A" and glyphs.MAC_ORDER[257] == "dcroat" and glyphs.CFF_STRINGS[34] == "A" and glyphs.CFF_STRINGS[390] == "Semibold"
 
@@ -353,3 +354,21 @@ def test_large_file():
     raw = synth.large(2)
     d = Document.load(raw, strict=True)
     assert len(raw) > 2 << 20 and d.object_count() == 4 and len(d.object(3).data) == 2 << 20 and d.page_ids() == []
+
+
+def test_operands_that_are_no_numbers():
+    t = geometry.Tracker()
+    ops = [("cm", [2, 0, 0, 2, Name("x"), 6]), ("cm", [2, 0, 0, 2, 5]), ("Tf", [Name("F1"), 9]), ("Tf", [Name("F2")]), ("Tf", [Name("F3"), b"x"]), ("Tc", [b"x"]), ("TL", [14]), ("TL", [Name("y")]), ("Tz", [])]
+    assert t.run(ops) == [] and t.ctm == geometry.IDENTITY and (t.font, t.size, t.leading, t.scale) == ("F3", 9.0, 14.0, 100.0)
+    t.run([("BT", []), ("Tm", [1, 0, 0, 1, 5, b"y"]), ("Td", [3]), ("Td", [Name("x"), 4])])
+    assert t.tm[4:] == (3.0, 4.0)
+    t.run([("TD", [1, Name("x")])])
+    assert t.tm[4:] == (4.0, 4.0) and t.leading == 0
+    (span,) = t.run([('"', [Name("x"), 2, b"z"])])
+    assert span[0] == "z" and (t.word_space, t.char_space) == (0.0, 2.0)
+
+
+def test_documents_without_a_catalogue_have_no_pages():
+    for root in (b"", b"/Root 7", b"/Root 1 0 R", b"/Root 9 0 R"):
+        d = Document.load(b"%PDF-1.4\n1 0 obj\n7\nendobj\n2 0 obj\n<< /A 1 >>\nendobj\nxref\n0 3\n0000000000 65535 f \n0000000009 00000 n \n0000000026 00000 n \ntrailer\n<< /Size 3 " + root + b" >>\nstartxref\n59\n%%EOF\n")
+        assert d.page_ids() == []

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,7 +101,22 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     assert cli.main(["extract-text", str(tmp_path / "a.pdf"), "--page", "0"]) == 2
     assert cli.main(["inspect", str(tmp_path)]) == 0 and "RecoveryFailed" in capsys.readouterr().out
     assert cli.main(["pack", str(tmp_path), str(tmp_path / "out")]) == 0 and [p.name for p in (tmp_path / "out").iterdir()] == ["a.pdf"]
-    assert cli.main(["bench", str(tmp_path)]) == 0 and "RecoveryFailed" in capsys.readouterr().out
+    assert cli.main(["bench", str(tmp_path), "--cold"]) == 0 and "RecoveryFailed" in capsys.readouterr().out
+    assert cli.main(["probe", str(tmp_path / "a.pdf")]) == 0 and "grown_kb" in capsys.readouterr().out
+    for folder, text in (("one", "eins"), ("two", "zwei")):
+        (tmp_path / "in" / folder).mkdir(parents=True)
+        (tmp_path / "in" / folder / "x.pdf").write_bytes(synth.build(text))
+    assert cli.main(["pack", str(tmp_path / "in"), str(tmp_path / "both")]) == 0
+    packed = {p.parent.name: tables.document_text(read_pdfs(spark, str(p))).first().text for p in (tmp_path / "both").rglob("*.pdf")}
+    assert packed == {"one": "eins", "two": "zwei"}
+
+
+def test_files_stay_in_their_folder(spark, tmp_path):
+    datasource.register(spark)
+    bad = spark.createDataFrame([("../outside.pdf", bytearray(b"x"))], "name string, content binary")
+    with pytest.raises(Exception, match="outside the folder"):
+        bad.write.format("quire").mode("append").save(str(tmp_path / "out"))
+    assert not (tmp_path / "outside.pdf").exists()
 
 
 def test_streaming_ingest(spark, tmp_path):
@@ -187,3 +204,45 @@ def test_entry(spark):
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).where("error is null").count() > 200
+
+
+def test_as_of_lookups_cross_partitions(spark):
+    rnd = random.Random(3)
+    starts = [(d, rnd.randrange(100_000), i) for d in (1, 2) for i in range(700)] + [(3, 10, 5)]
+    marks = [(d, rnd.randrange(100_000)) for d in (1, 2, 3, 4) for _ in range(300)]
+    frames = (spark.createDataFrame(starts, "doc_id long, offset long, obj_id long"), spark.createDataFrame(marks, "doc_id long, pos long"))
+    got = sorted((r.doc_id, r.pos, r.obj_id) for r in relational.enclosing(*frames).collect())
+    by_place = {(d, at): i for d, at, i in sorted(starts, key=lambda s: s[2])}
+    for d, pos, obj in got:
+        before = [at for e, at in by_place if e == d and at < pos]
+        ties = {i for e, at, i in starts if before and e == d and at == max(before)}
+        assert obj in ties if before else obj is None
+    assert len(got) == len(marks)
+
+
+def test_ranks_cross_partitions(spark):
+    rnd = random.Random(4)
+    values = [round(rnd.random() * 50, 1) for _ in range(3000)]
+    m = spark.createDataFrame([(v, i % 2) for i, v in enumerate(values)], "ms double, half int")
+    assert metrics.at_ranks(m, {"r": F.floor(F.col("n") * 3 / 4)}).first().r == sorted(values)[3000 * 3 // 4]
+    halves = {r.half: r.r for r in metrics.at_ranks(m, {"r": F.lit(0) + F.col("n") - 1}, ["half"]).collect()}
+    assert halves == {h: max(values[h::2]) for h in (0, 1)}
+    assert metrics.at_ranks(m.where("ms < 0"), {"r": F.lit(0)}).first().r is None
+
+
+def test_code_space_ranges_of_any_size(spark):
+    rnd = random.Random(5)
+    ranges = [(0, 2**32 - 1, "all"), (7, 7, "one"), (250, 260, "few"), (5, 4, "none")] + [(a := rnd.randrange(2**32), a + rnd.randrange(2**20), f"r{i}") for i in range(40)]
+    codes = [7, 7, 255, 256, 2**32 - 1, 2**33, *(r[0] for r in ranges[4:]), *(r[1] for r in ranges[4:])]
+    frames = (spark.createDataFrame([(c,) for c in codes], "code long"), spark.createDataFrame(ranges, "low long, high long, name string"))
+    got = sorted((r.code, r.name) for r in relational.codespace(*frames).collect() if r.name) + sorted(r.code for r in relational.codespace(*frames).collect() if not r.name)
+    assert got == sorted((c, n) for c in codes for lo, hi, n in ranges if lo <= c <= hi) + [2**33]
+
+
+def test_deep_page_trees_are_an_error_not_a_cut(spark):
+    nodes = b"".join(b"%d 0 obj\n<< /Type /Pages /Count 1 /Kids [%d 0 R] >>\nendobj\n" % (n, n + 1) for n in range(2, 8))
+    raw = b"%PDF-1.4\n1 0 obj\n<< /Type /Catalog /Pages 2 0 R >>\nendobj\n" + nodes + b"8 0 obj\n<< /Type /Page >>\nendobj\n"
+    kv = tables.object_kv(from_bytes(spark, [(1, raw)]))
+    assert [r.page_obj_id for r in relational.page_tree(kv).collect()] == [8]
+    with pytest.raises(ValueError, match="levels"):
+        relational.page_tree(kv, max_levels=3)
