@@ -9,7 +9,7 @@ A block is range-joined on a grid over its first two rotated coordinates, with c
 is at home in its cell and visits a later neighbouring cell only if it is within the radius of it. A cell with many rows is
 dealt in chunks of CHUNK, and every pair of chunks is a task of its own, so no task holds more than two chunks.
 Rotated coordinates are rounded to integers, on which block distances are exact, so that a pair that several blocks find
-is counted by the first of them alone. Links are counted where they are found and leave a task only as a count for
+is counted by the first of them alone; two visitors of a cell are no pair of it. Links are counted where they are found and leave a task only as a count for
 each vector and as spanning edges, never as all pairs of a group.
 
 Equal vectors of a label are one class, with a count, from the start.
@@ -147,27 +147,51 @@ def _joiner(dim: int, threshold: float):
         links, edges = np.zeros(len(ids), np.int64), []
         low = np.arange(len(ids))  # the least row that each row is known to be linked to
         norm = np.sqrt((v * v).sum(axis=1))
-        for lo in range(0, len(left), 512):
-            rows = left[lo : lo + 512]
-            a, z, radius = plan[block]
-            ok = _within(r[rows, a:z], r[right, a:z], radius) & (home[rows][:, None] | home[right])
-            if i == j:
-                ok &= rows[:, None] < right
+
+        def linked(p: np.ndarray, q: np.ndarray) -> None:
+            found = spanning(low, p, q)
+            edges.append(np.stack((ids[p[found]], ids[q[found]])))
+
+        def by_pairs(p: np.ndarray, q: np.ndarray) -> None:
+            """Few candidates of a stretch of rows: each by itself."""
+            new = np.ones(len(p), dtype=bool)
             for a, z, radius in plan[:block]:
-                if not ok.any():
-                    break
-                ok &= ~_within(r[rows, a:z], r[right, a:z], radius)
-            if not ok.any():
-                continue
+                new &= ((r[p, a:z] - r[q, a:z]) ** 2).sum(axis=1) > (radius * SCALE) ** 2
+            p, q = p[new], q[new]
+            hit = np.einsum("ij,ij->i", v[p], v[q]) / (norm[p] * norm[q]) >= threshold
+            p, q = p[hit], q[hit]
+            np.add.at(links, p, many[q])
+            np.add.at(links, q, many[p])
+            linked(p, q)
+
+        def by_matrix(rows: np.ndarray, cols: np.ndarray, ok: np.ndarray) -> None:
+            """Near copies of each other: all by products of matrices."""
+            for a, z, radius in plan[:block]:
+                ok &= ~_within(r[rows, a:z], r[cols, a:z], radius)
             x, y = np.flatnonzero(ok.any(axis=1)), np.flatnonzero(ok.any(axis=0))
-            p, q = rows[x], right[y]
+            p, q = rows[x], cols[y]
             cos = (v[p] @ v[q].T) / (norm[p][:, None] * norm[q])
             hit = ok[np.ix_(x, y)] & (cos >= threshold)
             links[p] += hit @ many[q]
             links[q] += many[p] @ hit
             f, g = np.nonzero(hit & (low[p][:, None] != low[q]))
-            found = spanning(low, p[f], q[g])
-            edges.append(np.stack((ids[p[f[found]]], ids[q[g[found]]])))
+            linked(p[f], q[g])
+
+        # two visitors of a cell are not its pair
+        sides = [(left[home[left]], right)] + ([(left[~home[left]], right[home[right]])] if i != j else [])
+        for whole, cols in sides:
+            for lo in range(0, len(whole), 512):
+                rows = whole[lo : lo + 512]
+                a, z, radius = plan[block]
+                ok = _within(r[rows, a:z], r[cols, a:z], radius)
+                if i == j:
+                    ok &= ~home[cols] | (rows[:, None] < cols)
+                if 16 * np.count_nonzero(ok) > ok.size:
+                    by_matrix(rows, cols, ok)
+                    continue
+                p, q = np.nonzero(ok)
+                for at in range(0, len(p), 1 << 15):
+                    by_pairs(rows[p[at : at + (1 << 15)]], cols[q[at : at + (1 << 15)]])
         some = np.flatnonzero(links)
         out = pd.DataFrame({"a": ids[some], "b": pd.array([None] * len(some), "Int64"), "n": links[some]})
         if edges:
