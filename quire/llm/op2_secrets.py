@@ -10,7 +10,7 @@ to a key, or, if its headers name a cipher, to whole blocks of it; `der` is bare
 key in DER, every nested length filling its parent to the byte; `ssh` is bare base64 or hex of an OpenSSH private key
 whose length-prefixed fields fill it.
 
-Base64 is of either alphabet. Line breaks in keys may be real or escaped as in JSON strings, as may slashes. Bare base64
+Armour may be indented, quoted as in mail or put together from string literals; base64 is of either alphabet. Line breaks in keys may be real or escaped as in JSON strings, as may slashes. Bare base64
 and hex may be wrapped and indented: from each place that starts like a key, as many digits are taken across lines as the
 key's own lengths ask for.
 
@@ -49,6 +49,8 @@ DOTTED = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++\.[A-Za-
 PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----")
 #: Escapes in JSON strings, which may themselves be escaped again.
 ESCAPED = re.compile(r"\\+([nrt/])")
+#: Marks before and after the lines of quoted armour.
+QUOTES = re.compile("[\"'`][\\s+.,;]*$|^[\\s>#*|\"'`]+")
 HEADER = re.compile(r"\s*[A-Za-z][A-Za-z0-9-]*:")
 BREAK = re.compile(r"[\x20\t]*(?:\\*\r?\n|(?:\\+r)?\\+n)(?:[\x20\t]|\\+t)*")
 #: What bare keys start with, a DER sequence or the OpenSSH magic; and a digit of each encoding.
@@ -194,6 +196,7 @@ def jwt_spans(text: str) -> list[tuple[str, int, int]]:
 
 def is_pem_key(label: str, body: str) -> bool:
     lines = ESCAPED.sub(lambda m: "/" if m[1] == "/" else "\n", body).replace("\r", "\n").split("\n")
+    lines = [QUOTES.sub("", line) for line in lines]
     ciphered, at = False, 0
     while at < len(lines) and (HEADER.match(lines[at]) or not lines[at].strip()):
         ciphered |= lines[at].strip().startswith("DEK-Info:")

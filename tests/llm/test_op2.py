@@ -135,3 +135,26 @@ def test_keys_in_other_spellings(spark):
             assert text[int(spans[0][1]) :].startswith("-----BEGIN ") and text[: int(spans[0][2])].endswith(" KEY-----")
     none = {1: "x " + armour(dek + "Tk9U"), 2: wrapped(std(pkcs1()[:-1] + b""), 64), 3: f"{seg('{ 1')}.{seg('{}')}.x www.example-site.com", 4: "MANY\nMAPS\nMADE " * 50}
     assert all(not r.spans for r in rows(spark, none).values())
+
+
+def test_quoted_armour_and_keys_after_a_slash(spark):
+    body = base64.b64encode(pkcs8()).decode()
+    lines = ["-----BEGIN PRIVATE KEY-----", *(body[i : i + 64] for i in range(0, len(body), 64)), "-----END PRIVATE KEY-----"]
+    texts = ["\n".join(f"> {x}" for x in lines), "\n".join(f"    # {x}" for x in lines), "\n".join(f'"{x}\\n" +' for x in lines), ",\n".join(f"'{x}'" for x in lines), "\n".join(f" * {x}" for x in lines)]
+    got = rows(spark, dict(enumerate([*texts, f"path/{body}", f"k=/{body} "])))
+    kinds = [[s.split(":")[0] for s in got[i].spans.split(",") if s.split(":")[0] in op.KINDS[3:]] for i in range(7)]
+    assert kinds == [["pem"]] * 5 + [["der"]] * 2
+
+
+def test_structural_kinds_overlap_base_kinds(spark):
+    token = jwt({"alg": "HS256"})
+    text = f"token: {token} and {pkcs1().hex()}"
+    (row,) = rows(spark, {1: text}).values()
+    spans = [(k, int(a), int(z)) for k, a, z in (s.split(":") for s in row.spans.split(","))]
+    kinds = [k for k, _, _ in spans]
+    assert sorted(kinds) == ["assign", "der", "hex", "jwt"] and row.n_assign == row.n_hex == 1
+    assert spans == op.in_order(spans)
+    base = ",".join(f"{k}:{a}:{z}" for k, a, z in spans if k in op.KINDS[:3])
+    assert row.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+    at = {k: (a, z) for k, a, z in spans}
+    assert at["hex"] == at["der"] and at["assign"][0] < at["jwt"][0] and op.masked(text, spans) == "[REDACTED] and [REDACTED]"
