@@ -9,7 +9,7 @@ import pytest
 from quire.llm import op9_language as lang
 from quire.llm import op10_ctw as ctw
 
-from .helpers import WORD, frame, lower
+from .helpers import DOCS, WORD, frame, lower
 
 
 def fold(i, m):
@@ -76,6 +76,15 @@ def test_language_odd_tables(spark):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == list(range(60))
 
 
+def test_tied_languages_and_repeated_rows(spark):
+    ids = [i for i in range(60) if fold(i, 3) != 1][:12]
+    text = "the same words teach both languages alike"
+    rows = [(i, text, "bb" if k % 2 else "aa", "s", 0, "k", 7, 7, "x", "y", "z", 1) for k, i in enumerate(ids)]
+    df = spark.createDataFrame(rows + rows[:3] + [(None, text, None, "s", 0, "k", 7, 7, "x", "y", "z", 1)], DOCS)
+    got = [(r.doc_id, r.lang_pred, r.score) for r in lang.identify(df).collect()]
+    assert len(got) == len(ids) + 4 and {p for _, p, _ in got} == {"aa"} and len({s for _, _, s in got}) == 1
+
+
 def brute_ctw(train: list[bytes], depth: int):
     """Counts and probabilities of every node by recursion."""
     counts: dict = {}
