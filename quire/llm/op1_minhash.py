@@ -38,7 +38,8 @@ from pyspark.sql import functions as F
 
 from .shared import components, shingle_sets, slices, stage, unstage
 
-COORDINATES, LOSS, ROUNDS, CHUNK = 64, 2e-6, 2, 512
+#: A worker looks at STRETCH rows of a batch, or postings of a text, at a time, so that its memory follows neither.
+COORDINATES, LOSS, ROUNDS, CHUNK, STRETCH = 64, 2e-6, 2, 256, 256
 _rng = np.random.default_rng(7)
 _A = _rng.integers(1, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(1, 2**63, COORDINATES, dtype=np.uint64)
@@ -65,9 +66,14 @@ def digest(s: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
+def _stretches(batches):
+    for b in batches:
+        yield from (b.slice(at, STRETCH) for at in range(0, b.num_rows, STRETCH))
+
+
 def _signer(k: int):
     def sign(batches):
-        for batch in batches:
+        for batch in _stretches(batches):
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             for lo, hi in slices(texts):
                 sets = shingle_sets(texts[lo:hi], k)
@@ -111,18 +117,22 @@ def _counter(match: int):
 def _confirmer(k: int, percent: int):
     def confirm(batches):
         seen: dict = {}
+        size = 0
 
         def get(i, text, d):
+            nonlocal size
             if (i, d) not in seen:
-                if len(seen) > 512:
+                if size > 1 << 20:
                     seen.clear()
+                    size = 0
                 s = shingle_sets([text], k)[0]
                 if digest(s)[0] != d:  # another text under the same id; the right one comes too
                     return None
                 seen[i, d] = s
+                size += len(s)
             return seen[i, d]
 
-        for b in batches:
+        for b in _stretches(batches):
             out = []
             for a, z, da, dz, ta, tz in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
                 x, y = get(a, ta, da), get(z, tz, dz)
@@ -139,14 +149,17 @@ def _overlaps(rows: list, cols: list, percent: int):
     """(i, j) of rows[i] and cols[j] that are linked, by an inverted index of cols; a row at a time."""
     size = np.array([len(c) for c in cols])
     keys = np.concatenate(cols)
-    owner = np.repeat(np.arange(len(cols)), size)
     order = np.argsort(keys, kind="stable")
-    keys, owner = keys[order], owner[order]
+    owner = np.repeat(np.arange(len(cols), dtype=np.int32), size)[order]
+    keys = keys[order]
+    del order
     for i, x in enumerate(rows):
-        lo, hi = np.searchsorted(keys, x), np.searchsorted(keys, x, side="right")
-        n = hi - lo
-        at = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-        both = np.bincount(owner[at], minlength=len(cols))
+        both = np.zeros(len(cols), np.int64)
+        for part in range(0, len(x), STRETCH):  # of postings, each of which is at most as long as cols
+            lo, hi = np.searchsorted(keys, x[part : part + STRETCH]), np.searchsorted(keys, x[part : part + STRETCH], side="right")
+            n = hi - lo
+            at = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+            both += np.bincount(owner[at], minlength=len(cols))
         yield i, np.flatnonzero(100 * both >= percent * (len(x) + size - both))
 
 
