@@ -62,15 +62,19 @@ def _operations(content, password):
             yield i + 1, seq, op, json.dumps([tagged(a) for a in args])
 
 
-def _text(content, password):
+def _text(content, password, exact=False):
     d = _open(content, password)
     for i, n in enumerate(d.page_ids()):
         try:
-            yield i + 1, d.page_text(n), None
+            yield i + 1, d.page_text(n, exact=exact), None
         except _FAULTS as e:
             yield i + 1, None, fault(e)[0]
 
 
+def _exact_text(content, password):
+    yield from _text(content, password, True)
+
+
 def _spans(content, password):
     d = _open(content, password)
     for i, n in enumerate(d.page_ids()):
@@ -91,6 +95,7 @@ ALL: dict[str, tuple[str, Callable[..., Iterator[tuple]]]] = {
     "pdf_pages": ("page_no int, page_obj_id bigint", _pages),
     "pdf_operations": ("page_no int, seq int, operator string, operands string", _operations),
     "pdf_text": ("page_no int, text string, error string", _text),
+    "pdf_exact_text": ("page_no int, text string, error string", _exact_text),
     "pdf_spans": (
         "page_no int, seq int, text string, min_x float, min_y float, max_x float, max_y float, font_name string, font_size float, is_bold boolean, is_italic boolean",
         _spans,

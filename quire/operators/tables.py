@@ -222,22 +222,22 @@ def _each_page(doc_id, content, password, wanted, one):
                 yield i + 1, None, fault(e)
 
 
-def page_text(files: DataFrame, page_numbers: set[int] | None = None, kerning: float = -100.0) -> DataFrame:
-    """Plain text of pages."""
+def page_text(files: DataFrame, page_numbers: set[int] | None = None, kerning: float = -100.0, exact: bool = False) -> DataFrame:
+    """Plain text of pages; exact keeps blanks at its ends, empty lines and blanks beside blanks, which are folded otherwise."""
 
     def rows(doc_id, content, password):
-        for no, text, error in _each_page(doc_id, content, password, page_numbers, lambda d, n: d.page_text(n, kerning)):
+        for no, text, error in _each_page(doc_id, content, password, page_numbers, lambda d, n: d.page_text(n, kerning, exact)):
             yield doc_id, no, text, error
 
     return map_documents(with_password(files), rows, f"doc_id bigint, page_no int, text string, error {ERROR}", _INPUTS, weight=lambda r: len(r[2] or ""))
 
 
-def document_text(files: DataFrame, kerning: float = -100.0) -> DataFrame:
-    """Text of whole documents, pages apart by a newline; parsing and text in one pass. The first page that fails is the error."""
+def document_text(files: DataFrame, kerning: float = -100.0, exact: bool = False) -> DataFrame:
+    """Text of whole documents, exact as for page_text, pages apart by a newline; parsing and text in one pass. The first page that fails is the error."""
 
     def rows(doc_id, content, password):
         out, fault = [], None
-        for _, text, error in _each_page(doc_id, content, password, None, lambda d, n: d.page_text(n, kerning)):
+        for _, text, error in _each_page(doc_id, content, password, None, lambda d, n: d.page_text(n, kerning, exact)):
             fault = fault or error
             out.append(text or "")
         yield doc_id, None if fault else "\n".join(out), len(out), fault

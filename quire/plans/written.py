@@ -166,5 +166,5 @@ def memory_probe(s, d):
 def measured_loads(s, d):
     files = _documents(s, d)
     m = metrics.measured(files)
-    text = tables.document_text(files).select("doc_id", (F.length(F.regexp_replace("text", "\n", "")) > 0).alias("has_text"))
+    text = tables.document_text(files, exact=True).select("doc_id", (F.length(F.regexp_replace("text", "\n", "")) > 0).alias("has_text"))
     return m.join(text, "doc_id").select("doc_id", "has_text", F.col("error").isNull().alias("passed"), ((F.col("rss_kb") > 0) & (F.col("ms") > 0) & (F.col("bytes") > 0)).alias("measured"))

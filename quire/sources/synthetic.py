@@ -11,15 +11,15 @@ from ..operators.batches import map_documents
 _SCHEMA = "doc_id bigint, content binary, password binary"
 
 
-def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", password: bytes | None = None, **layout) -> DataFrame:
-    """A PDF for each row; layout as for synth.build. A null text is an empty page."""
+def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", password: bytes | None = None, keep_nulls: bool = False, **layout) -> DataFrame:
+    """A PDF for each row; layout as for synth.build. A null text is an empty page, or with keep_nulls no document."""
 
     def rows(doc_id, text):
         # one seed for a corpus: its key derivation is then done once a worker
-        yield doc_id, synth.build(text or "", password=password or b"", seed=b"corpus", **layout), password
+        yield doc_id, None if keep_nulls and text is None else synth.build(text or "", password=password or b"", seed=b"corpus", **layout), password
 
     src = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return map_documents(src, rows, _SCHEMA, ["doc_id", "text"], weight=lambda r: len(r[1]))
+    return map_documents(src, rows, _SCHEMA, ["doc_id", "text"], weight=lambda r: len(r[1] or b""))
 
 
 def contents(df: DataFrame, id_col: str, content_col: str) -> DataFrame:
