@@ -84,7 +84,7 @@ def measured(files: DataFrame) -> DataFrame:
             error = e.kind
         yield doc_id, len(content), 1000 * (time.perf_counter() - start), error, resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
 
-    return map_documents(with_password(files), rows, "doc_id bigint, bytes bigint, ms double, error string, rss_kb bigint", ["doc_id", "content", "password"])
+    return map_documents(with_password(files), rows, "doc_id bigint, bytes bigint, ms double, error string, rss_kb bigint", ["doc_id", "content", "password"], once=False)
 
 
 def memory_probe(files: DataFrame, most: int = 10) -> DataFrame:
@@ -115,4 +115,4 @@ def memory_probe(files: DataFrame, most: int = 10) -> DataFrame:
         found = [x for x in found if x is not None]
         yield doc_id, len(found), sum(isinstance(x, Stream) for x in found), ms, peak(), peak() - before
 
-    return map_documents(with_password(files), rows, "doc_id bigint, objects bigint, streams bigint, ms double, rss_kb bigint, grown_kb bigint", ["doc_id", "content", "password"])
+    return map_documents(with_password(files), rows, "doc_id bigint, objects bigint, streams bigint, ms double, rss_kb bigint, grown_kb bigint", ["doc_id", "content", "password"], once=False)
