@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-CHUNK_ROWS, CHUNK_BYTES = 4096, 16 << 20
+CHUNK_ROWS, CHUNK_BYTES, PART_BYTES = 4096, 4 << 20, 4 << 20
 #: Rows of a chunk with those of repeated documents. Documents of up to KEPT_BYTES and KEPT_ROWS rows are kept for later batches, HELD_BYTES and HELD_ROWS of them.
 MOST_ROWS, KEPT_BYTES, KEPT_ROWS, HELD_BYTES, HELD_ROWS = 65536, 16 << 10, 64, 8 << 20, 32768
 ERROR = "struct<kind:string,offset:bigint,message:string>"
@@ -26,12 +26,19 @@ def _codes(columns: list[pa.Array], n: int) -> np.ndarray:
     return out
 
 
+def sliced(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+    """Batches in parts of about PART_BYTES: what is made of one is as small, however long its documents are."""
+    for b in batches:
+        step = max(1, b.num_rows * PART_BYTES // max(PART_BYTES, b.nbytes))
+        for at in range(0, b.num_rows, step):
+            yield b.slice(at, step)
+
+
 class Chunk:
     """Rows of documents, those of equal documents once, and where each document's lie."""
 
     def __init__(self):
         self.tails: list[tuple] = []
-        self.sizes = 0
         self.found: dict[int, tuple[int, int, int]] = {}
         self.picked: list[tuple[int, int, int]] = []
         self.n = self.bytes = 0
@@ -66,7 +73,7 @@ def map_documents(files: DataFrame, rows: Callable[..., Iterable[tuple]], schema
     def run(batches):
         kept: dict[tuple, tuple[list, int]] = {}
         kept_bytes = kept_rows = 0
-        for b in batches:
+        for b in sliced(batches):
             ids, cols = b.column(0), b.columns[1:]
             codes = _codes(cols, b.num_rows).tolist() if once else range(b.num_rows)
             chunk = Chunk()
