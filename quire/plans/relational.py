@@ -52,6 +52,9 @@ def page_tree(object_kv: DataFrame, max_levels: int = 100) -> DataFrame:
     max_levels levels are an error.
     """
     checkpointed(object_kv.sparkSession)
+    # documents are parsed for it once: all that follows reads what is kept here
+    wanted = "kind in ('name', 'ref') and (size(path) = 1 and path[0] in ('Type', 'Pages') or size(path) = 2 and path[0] = 'Kids')"
+    object_kv = object_kv.where(wanted).select("doc_id", "obj_id", "path", "kind", "s", "ref_id").checkpoint()
     kind = object_kv.where("size(path) = 1 and path[0] = 'Type' and kind = 'name'").select("doc_id", "obj_id", F.col("s").alias("type")).checkpoint()
     kids = object_kv.where("size(path) = 2 and path[0] = 'Kids' and kind = 'ref'").select("doc_id", "obj_id", F.expr("cast(path[1] as int)").alias("ord"), F.col("ref_id").alias("kid")).checkpoint()
     top = object_kv.where("size(path) = 1 and path[0] = 'Pages' and kind = 'ref'").join(kind.where("type = 'Catalog'"), ["doc_id", "obj_id"]).select("doc_id", F.col("ref_id").alias("obj_id"))
