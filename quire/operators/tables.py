@@ -17,7 +17,7 @@ from ..kernel.content import operations as parse_operations
 from ..kernel.document import Document
 from ..kernel.filters import filter_spec
 from ..kernel.lexer import tokens as lex_tokens
-from .batches import ERROR, map_documents, with_password
+from .batches import ERROR, map_columns, map_documents, with_password
 
 _INPUTS = ["doc_id", "content", "password"]
 KINDS = {"n": "in_use", "c": "compressed", "f": "free"}
@@ -315,12 +315,21 @@ def token_row(pos: int, kind: str, v) -> tuple:
     )
 
 
-def tokens(df: DataFrame, content_col: str = "content", content_syntax: bool = False) -> DataFrame:
-    """Tokens of a binary column, by the file's or by the content-stream grammar."""
+_TOKEN_COLUMNS = {"seq": "int", "pos": "bigint", "kind": "string", "i": "bigint", "r": "double", "s": "string", "bytes": "binary"}
+_SHORT = {"seq", "kind", "i"}
 
-    def rows(doc_id, raw):
-        for seq, t in enumerate(lex_tokens(raw or b"", content_syntax)):
-            yield doc_id, seq, *token_row(*t)
+
+def tokens(df: DataFrame, content_col: str = "content", content_syntax: bool = False, columns: list[str] | None = None) -> DataFrame:
+    """Tokens of a binary column, by the file's or by the content-stream grammar. columns: those beside doc_id that are wanted, else all."""
+    names = list(_TOKEN_COLUMNS) if columns is None else columns
+
+    def rows(raw):
+        found = lex_tokens(raw or b"", content_syntax)
+        if set(names) <= _SHORT:
+            made = {"seq": range(len(found)), "kind": [t[1] for t in found], "i": [t[2] if t[1] == "int" else None for t in found]}
+        else:
+            made = dict(zip(_TOKEN_COLUMNS, (range(len(found)), *zip(*(token_row(*t) for t in found), strict=True)) if found else [()] * len(_TOKEN_COLUMNS), strict=True))
+        return len(found), [made[c] for c in names]
 
     src = df.select("doc_id", F.col(content_col).alias("content"))
-    return map_documents(src, rows, "doc_id bigint, seq int, pos bigint, kind string, i bigint, r double, s string, bytes binary", ["doc_id", "content"])
+    return map_columns(src, rows, ", ".join(["doc_id bigint", *(f"{c} {_TOKEN_COLUMNS[c]}" for c in names)]), ["doc_id", "content"])
